@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookcal.functions.ordering import global_row_number
 from brookcal.operators.observations import range_text
 
 FIXED_KINDS = ("tied", "fixed")
@@ -277,8 +278,8 @@ def combination_groups(incidence: DataFrame) -> DataFrame:
     the rank of the sorted set, so it does not depend on row order.
     """
     sets = incidence.where(F.col("v") != 0).groupBy("par").agg(F.sort_array(F.collect_set("obgnme")).alias("obgnmes"))
-    ids = sets.select("obgnmes").distinct().withColumn(
-        "pargp", F.concat(F.lit("obs_combo_"), F.row_number().over(Window.orderBy("obgnmes")).cast("string")))
+    ids = global_row_number(sets.select("obgnmes").distinct(), ["obgnmes"], "_id").select(
+        "obgnmes", F.concat(F.lit("obs_combo_"), F.col("_id").cast("string")).alias("pargp"))
     return sets.join(ids, "obgnmes").select("par", "pargp", "obgnmes")
 
 
