@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookcal.functions.draws import uniform
-from brookcal.operators.pairs import block_product
-from brookcal.session import one_row
+from brookcal.operators.pairs import gram_product
+from brookcal.session import one_row, spread
 
 
 def _square(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -80,25 +80,26 @@ def posterior_moments(
     dev = _scaled_deviations(ens)
     scaled = dev.join(noise, "name").select("run", "name", "real", (F.col("dev") / F.sqrt("var")).alias("v"))
     rows = scaled.join(members, "name").select("run", "group", F.col("real").alias("row"), F.col("name").alias("k"), "v")
-    gram = block_product(rows, rows.withColumnRenamed("row", "col"), ["run", "group"], symmetric=True, dense=True)
+    gram = gram_product(rows, ["run", "group"], dense=True)
     pred = dev.join(predictions.select("name"), "name", "left_semi")
     # every group meets every prediction: groups are listed by the caller, predictions come in tiles
     tiles = F.greatest(F.ceil(one_row(predictions, F.count(F.lit(1)))["x0"] / F.lit(512.0)), F.lit(1)).cast("int")
     targets = members.agg(F.collect_set("group")).scalar()
     cols = pred.select(
         "run", "real", "name", "dev", F.pmod(F.xxhash64("name"), tiles).cast("int").alias("_t"), F.explode(targets).alias("group"))
-    spread_gram = gram.withColumn("_t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tiled_gram = gram.withColumn("_t", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tile_key = ["run", "group", "_t"]
     moved = (
-        spread_gram.groupBy("run", "group", "_t")
-        .cogroup(cols.groupBy("run", "group", "_t"))
+        spread(tiled_gram, *tile_key).groupBy(*tile_key)
+        .cogroup(spread(cols, *tile_key).groupBy(*tile_key))
         .applyInPandas(_apply_gain, "run string, group string, real string, name string, md double")
         .withColumnRenamed("md", "_md")
     )
     joined = moved.join(
         pred.select("run", "real", "name", "dev", "prior_mean", "prior_var", "_n"), ["run", "real", "name"])
-    spread = joined.groupBy("run", "group", "name").agg(
+    drop = joined.groupBy("run", "group", "name").agg(
         F.max("prior_var").alias("_pv"), F.sum(F.col("dev") * F.col("_md")).alias("_s"))
-    std = spread.select(
+    std = drop.select(
         "run", "group", "name", F.sqrt("_pv").alias("prior_std"),
         F.sqrt(F.greatest(F.col("_pv") - F.col("_s"), F.lit(0.0))).alias("post_std"),
     ).withColumn("percent_reduction", 100.0 * (1.0 - F.try_divide(F.col("post_std"), F.col("prior_std"))))
@@ -204,7 +205,7 @@ def group_conflict(ens: DataFrame, obs: DataFrame) -> DataFrame:
     sim = ens.join(o, "name").select("group", F.col("real").alias("row"), F.col("name").alias("k"), F.col("value").alias("v"))
     seen = o.select("group", F.lit("\x00obs").alias("row"), F.col("name").alias("k"), F.col("obsval").alias("v"))
     rows = sim.unionByName(seen)
-    gram = block_product(rows, rows.withColumnRenamed("row", "col"), ["group"], symmetric=True, dense=True)
+    gram = gram_product(rows, ["group"], dense=True)
     nx = o.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("nx"))
-    return gram.join(nx, "group").groupBy("group").applyInPandas(
+    return spread(gram.join(nx, "group"), "group").groupBy("group").applyInPandas(
         _loo_conflict, "obgnme string, z_score double, p_value double")

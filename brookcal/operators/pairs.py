@@ -17,90 +17,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookcal.operators.ensembles import deviations
-from brookcal.session import one_row
+from brookcal.session import one_row, spread
 
 TILE = 512
 INNER = 1024
 
 
-def _tiles(df: DataFrame, col: str, size: int) -> Column:
-    """Number of hash blocks that keep about ``size`` names in each."""
-    n = one_row(df, F.approx_count_distinct(col))["x0"]
-    return F.greatest(F.ceil(n / F.lit(float(size))), F.lit(1)).cast("int")
+def _tile_counts(df: DataFrame, sizes: dict[str, int]) -> Column:
+    """Number of hash blocks per column that keep about ``size`` names in each, from one pass."""
+    found = one_row(df, *[F.approx_count_distinct(c) for c in sizes])
+    blocks = [F.greatest(F.ceil(found[f"x{i}"] / F.lit(float(n))), F.lit(1)).cast("int") for i, n in enumerate(sizes.values())]
+    return F.array(*blocks)
 
 
 def _bucket(col: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(col), n).cast("int")
 
 
+def _dense(names: np.ndarray, k: np.ndarray, v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, unique = pd.factorize(names)
+    values, seen = np.zeros((len(unique), width)), np.zeros((len(unique), width))
+    np.add.at(values, (codes, k), v)
+    seen[codes, k] = 1.0
+    return np.asarray(unique, dtype=object), values, seen
+
+
 def _multiplier(keys: list[str], symmetric: bool, dense: bool):
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        is_left = pdf["_left"].to_numpy()
+        diagonal = symmetric and int(pdf["_bi"].iloc[0]) == int(pdf["_bj"].iloc[0])
+        is_left = pdf["_left"].to_numpy(dtype=bool)
         k_codes, k_names = pd.factorize(pdf["_k"])
-        rows, row_names = pd.factorize(pdf["_a"].to_numpy()[is_left])
-        cols, col_names = pd.factorize(pdf["_a"].to_numpy()[~is_left])
-        v = pdf["_v"].to_numpy(dtype=float)
-        left = np.zeros((len(row_names), len(k_names)))
-        right = np.zeros((len(k_names), len(col_names)))
-        np.add.at(left, (rows, k_codes[is_left]), v[is_left])
-        np.add.at(right, (k_codes[~is_left], cols), v[~is_left])
-        product = left @ right
-        keep = np.ones(product.shape, dtype=bool)
-        if not dense:
-            seen_l, seen_r = np.zeros(left.shape), np.zeros(right.shape)
-            seen_l[rows, k_codes[is_left]] = 1.0
-            seen_r[k_codes[~is_left], cols] = 1.0
-            keep &= (seen_l @ seen_r) > 0
-        rn = np.asarray(row_names, dtype=object)
-        cn = np.asarray(col_names, dtype=object)
-        if symmetric and bi == bj:
+        a, v, width = pdf["_a"].to_numpy(dtype=object), pdf["_v"].to_numpy(dtype=float), len(k_names)
+        rn, left, seen_l = _dense(a[is_left], k_codes[is_left], v[is_left], width)
+        if diagonal:
+            cn, right, seen_r = rn, left, seen_l
+        else:
+            cn, right, seen_r = _dense(a[~is_left], k_codes[~is_left], v[~is_left], width)
+        product = left @ right.T
+        keep = np.ones(product.shape, dtype=bool) if dense else (seen_l @ seen_r.T) > 0
+        if diagonal:
             keep &= rn[:, None] <= cn[None, :]
         i, j = np.nonzero(keep)
-        a, b = rn[i], cn[j]
-        if symmetric and bi != bj:
-            swap = a > b
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-        out = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**out, "row": a, "col": b, "v": product[i, j]})
+        out_a, out_b = rn[i], cn[j]
+        if symmetric and not diagonal:
+            swap = out_a > out_b
+            out_a, out_b = np.where(swap, out_b, out_a), np.where(swap, out_a, out_b)
+        same = {key: pdf[key].iloc[0] for key in keys}
+        return pd.DataFrame({**same, "row": out_a, "col": out_b, "v": product[i, j]})
 
     return multiply
 
 
+def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], symmetric: bool, dense: bool) -> DataFrame:
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["row string", "col string", "v double"])
+    tile_key = [*keys, "_bi", "_bj", "_kc"]
+    parts = spread(both, *tile_key).groupBy(*tile_key).applyInPandas(_multiplier(keys, symmetric, dense), schema)
+    return parts.groupBy(*keys, "row", "col").agg(F.sum("v").alias("v"))
+
+
+def gram_product(
+    rows: DataFrame, keys: Sequence[str] = (), dense: bool = False, tile: int = TILE, inner: int = INNER
+) -> DataFrame:
+    """Sum over k of v(a, k) x v(b, k) for every unordered pair a <= b, per key.
+
+    ``rows([keys,] row, k, v)`` is read once: each entry goes to the tiles of
+    its block with the blocks after it (left) and before it (right); a diagonal
+    tile holds its block only once.
+    """
+    keys = list(keys)
+    n = _tile_counts(rows, {"row": tile, "k": inner})
+    blocks, chunks = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o")
+    b, o = F.col("_b"), F.col("_o")
+    both = rows.select(
+        *keys, F.col("row").alias("_a"), F.col("k").alias("_k"), F.col("v").cast("double").alias("_v"),
+        _bucket("row", blocks).alias("_b"), _bucket("k", chunks).alias("_kc"), other,
+    ).select(*keys, "_a", "_k", "_v", "_kc", (o >= b).alias("_left"), F.least(b, o).alias("_bi"), F.greatest(b, o).alias("_bj"))
+    return _multiply_tiles(both, keys, dict(rows.dtypes), True, dense)
+
+
 def block_product(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str] = (),
-    symmetric: bool = False,
     dense: bool = False,
     tile: int = TILE,
     inner: int = INNER,
 ) -> DataFrame:
     """Sum over k of left(row, k) x right(k, col), per key.
 
-    ``symmetric`` emits each unordered pair once (row <= col) and is meant for
-    ``right`` being the transpose of ``left``. Without ``dense`` only pairs
-    that share at least one k appear, as in a join.
+    Without ``dense`` only pairs that share at least one k appear, as in a join.
     """
     keys = list(keys)
-    rb, cb = _tiles(left, "row", tile), _tiles(right, "col", tile)
-    if symmetric:
-        cb = rb
-    kc = _tiles(left, "k", inner)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    n = _tile_counts(left, {"row": tile, "k": inner})
+    rb, kc = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+    cb = F.get(_tile_counts(right, {"col": tile}), F.lit(0))
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    v = F.col("v").cast("double").alias("_v")
     lhs = left.select(
-        *keys, F.col("row").alias("_a"), F.col("k").alias("_k"), F.col("v").alias("_v"), F.lit(True).alias("_left"),
+        *keys, F.col("row").alias("_a"), F.col("k").alias("_k"), v, F.lit(True).alias("_left"),
         _bucket("row", rb).alias("_bi"), _bucket("k", kc).alias("_kc"), every(cb).alias("_bj"))
     rhs = right.select(
-        *keys, F.col("col").alias("_a"), F.col("k").alias("_k"), F.col("v").alias("_v"), F.lit(False).alias("_left"),
+        *keys, F.col("col").alias("_a"), F.col("k").alias("_k"), v, F.lit(False).alias("_left"),
         every(rb).alias("_bi"), _bucket("k", kc).alias("_kc"), _bucket("col", cb).alias("_bj"))
-    both = lhs.unionByName(rhs)
-    if symmetric:
-        both = both.where(F.col("_bi") <= F.col("_bj"))
-    types = dict(left.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["row string", "col string", "v double"])
-    parts = both.groupBy(*keys, "_bi", "_bj", "_kc").applyInPandas(_multiplier(keys, symmetric, dense), schema)
-    return parts.groupBy(*keys, "row", "col").agg(F.sum("v").alias("v"))
+    return _multiply_tiles(lhs.unionByName(rhs), keys, dict(left.dtypes), False, dense)
 
 
 # covariance ---------------------------------------------------------------
@@ -125,7 +145,7 @@ def covariance(
         dev = deviations(ens, center_on)
     n = one_row(ens, F.count_distinct("real"))["x0"]
     left = dev.select(*keys, F.col("name").alias("row"), F.col("real").alias("k"), F.col("value").alias("v"))
-    cov = block_product(left, left.withColumnRenamed("row", "col"), keys, symmetric=True, dense=True)
+    cov = gram_product(left, keys, dense=True)
     cov = cov.withColumn("v", F.col("v") / (n - 1))
     if localizer is not None:
         loc = localizer.select(
@@ -202,7 +222,7 @@ def observation_competition(jac: DataFrame, obs: DataFrame) -> DataFrame:
     """w1 w2 sum_par(j1 j2) for every pair of non-zero observations (each pair once); diagonal 0."""
     w = obs.where(F.col("weight") > 0).select(F.col("obsnme").alias("obs"), "weight")
     q = jac.join(w, "obs").select(F.col("obs").alias("row"), F.col("par").alias("k"), (F.col("v") * F.col("weight")).alias("v"))
-    pairs = block_product(q, q.withColumnRenamed("row", "col"), symmetric=True)
+    pairs = gram_product(q)
     return pairs.withColumn("v", F.when(F.col("row") == F.col("col"), F.lit(0.0)).otherwise(F.col("v")))
 
 

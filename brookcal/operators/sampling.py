@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookcal.functions.draws import standard_normal, triangular, uniform
+from brookcal.operators.ensembles import deviations
+from brookcal.operators.pairs import block_product
 from brookcal.operators.parameters import clip, log_span
+from brookcal.session import one_row, spread
 
 MIN_WEIGHT = 1.0e-30
 
@@ -120,7 +123,7 @@ def correlated_draw(cov: DataFrame, means: DataFrame, n: int, seed: int) -> Data
     in which the covariance is defined (zones, observation groups). Groups are
     independent and spread over the cluster. ``means(name, mean)``.
     """
-    dev = cov.groupBy("group").applyInPandas(_factor_draw(int(n), int(seed)), "real string, name string, dev double")
+    dev = spread(cov, "group").groupBy("group").applyInPandas(_factor_draw(int(n), int(seed)), "real string, name string, dev double")
     return dev.join(means, "name").select("real", "name", (F.col("mean") + F.col("dev")).alias("value"))
 
 
@@ -130,10 +133,6 @@ def ensemble_based_draw(ens: DataFrame, n: int, seed: int, keys: Sequence[str] =
     mean + sum_k dev_k x z_k / sqrt(n_ens - 1) has exactly that covariance; the
     product runs in blocks, so neither names nor realizations meet in one task.
     """
-    from brookcal.operators.ensembles import deviations
-    from brookcal.operators.pairs import block_product
-    from brookcal.session import one_row
-
     size = one_row(ens, F.count_distinct("real"))["x0"]
     old = ens.select(F.col("real").alias("k")).distinct()
     z = _realizations(old, n).select(

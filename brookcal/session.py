@@ -46,3 +46,13 @@ def one_row(df: DataFrame, *aggregates: Column) -> Column:
     return df.agg(*[a.alias(n) for a, n in zip(aggregates, names)]).select(
         F.struct(*names)
     ).scalar()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition on ``keys`` over all shuffle partitions.
+
+    Python tiles are small in bytes but heavy in work; without a fixed number
+    adaptive execution would merge them into a few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
