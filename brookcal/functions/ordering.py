@@ -47,3 +47,10 @@ def lead_in_group(df: DataFrame, group: str, order: str, columns: Sequence[str],
     out = inside.join(border, [group, "_chunk"])
     pick = F.coalesce("_next", "_border")
     return out.select(*df.columns, *[pick[c].alias(f"{prefix}{c}") for c in columns])
+
+
+def number_in_group(df: DataFrame, group: str, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """0-based position of every row in the order of its group."""
+    rows = global_row_number(df, [group, *order], "_g")
+    first = rows.groupBy(group).agg(F.min("_g").alias("_f"))
+    return rows.join(first, group).withColumn(name, F.col("_g") - F.col("_f")).drop("_g", "_f")

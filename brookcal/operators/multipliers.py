@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,30 +176,50 @@ def clip_magnitude(value: Column, limit: float) -> Column:
     return F.greatest(F.least(v, F.lit(top)), F.lit(-top))
 
 
+# Statistics of a model array: name -> aggregate of (value, lower bound, upper bound).
+STATISTICS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "mean": lambda v, lb, ub: F.avg(v),
+    "stdev": lambda v, lb, ub: F.stddev_pop(v),
+    "min": lambda v, lb, ub: F.min(v),
+    "max": lambda v, lb, ub: F.max(v),
+    "upper_bound": lambda v, lb, ub: F.count_if(v == ub),
+    "lower_bound": lambda v, lb, ub: F.count_if(v == lb),
+}
+ARRAY_QUANTILES = {"quantile_05": 0.05, "quantile_25": 0.25, "median": 0.5, "quantile_75": 0.75, "quantile_95": 0.95}
+
+
 def array_summary(
-    cells: DataFrame, bounds: DataFrame | None = None, zone: str | None = None
+    cells: DataFrame, bounds: DataFrame | None = None, zone: str | None = None,
+    statistics: Sequence[str] | None = None,
 ) -> DataFrame:
     """Statistics of new, original and original - new values per model file.
 
-    ``cells(model_file, new, org[, zone])``; zone 0 is masked. Quantiles go
+    ``cells(model_file, new, org[, zone])``; zone 0 is masked. ``statistics``
+    picks registered names (all by default), unknown ones raise. Quantiles go
     through value buckets, so a large model file is not gathered in one task.
     """
+    known = [*STATISTICS, *ARRAY_QUANTILES]
+    wanted = list(known if statistics is None else statistics)
+    unknown = [s for s in wanted if s not in known]
+    if unknown:
+        raise ValueError("unknown statistics: " + ", ".join(unknown))
     t = cells if zone is None else cells.where(F.col(zone) != 0)
-    t = t.withColumn("lb", F.lit(None).cast("double")).withColumn("ub", F.lit(None).cast("double")) if bounds is None else t.join(
-        bounds.groupBy("model_file").agg(F.max("ub").alias("ub"), F.min("lb").alias("lb")), "model_file", "left")
-    aggs = []
-    for c in ("new", "org"):
-        s = "" if c == "new" else "_org"
-        aggs += [
-            F.avg(c).alias(f"mean{s}"), F.stddev_pop(c).alias(f"stdev{s}"), F.min(c).alias(f"min{s}"), F.max(c).alias(f"max{s}"),
-            F.count_if(F.col(c) == F.col("ub")).alias(f"upper_bound{s}"), F.count_if(F.col(c) == F.col("lb")).alias(f"lower_bound{s}"),
-        ]
-    out = t.groupBy("model_file").agg(*aggs)
-    probs = {"quantile_05": 0.05, "quantile_25": 0.25, "median": 0.5, "quantile_75": 0.75, "quantile_95": 0.95}
-    for c, s in (("new", ""), ("org", "_org")):
-        out = out.join(exact_quantiles(t, ["model_file"], c, {f"{k}{s}": p for k, p in probs.items()}), "model_file", "left")
-    stats = ["mean", "stdev", "min", "max", "upper_bound", "lower_bound", *probs]
-    return out.select("*", *[(F.col(f"{s}_org") - F.col(s)).alias(f"{s}_dif") for s in stats])
+    if bounds is None:
+        t = t.withColumn("lb", F.lit(None).cast("double")).withColumn("ub", F.lit(None).cast("double"))
+    else:
+        t = t.join(bounds.groupBy("model_file").agg(F.max("ub").alias("ub"), F.min("lb").alias("lb")), "model_file", "left")
+    sides = (("new", ""), ("org", "_org"))
+    aggs = [
+        STATISTICS[s](F.col(c), F.col("lb"), F.col("ub")).alias(f"{s}{suffix}")
+        for c, suffix in sides for s in wanted if s in STATISTICS
+    ]
+    out = t.groupBy("model_file").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    probs = {s: ARRAY_QUANTILES[s] for s in wanted if s in ARRAY_QUANTILES}
+    if probs:
+        for c, suffix in sides:
+            q = exact_quantiles(t, ["model_file"], c, {f"{k}{suffix}": p for k, p in probs.items()})
+            out = out.join(q, "model_file", "left")
+    return out.select("*", *[(F.col(f"{s}_org") - F.col(s)).alias(f"{s}_dif") for s in wanted])
 
 
 def time_differences(obs: DataFrame, prefix: str = "dif") -> DataFrame:

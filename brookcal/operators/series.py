@@ -7,7 +7,7 @@ combined before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +77,18 @@ def derived_sum(df: DataFrame, parts: Sequence[str], target: str) -> DataFrame:
     )
 
 
+def diagnostic(df: DataFrame, inputs: Mapping[str, str], formula: Callable[..., Column], target: str) -> DataFrame:
+    """A user formula over named variables of the same (loc, day).
+
+    ``inputs`` maps argument names to variables; ``formula`` receives one column
+    per argument and returns a column, so the result stays inside Catalyst.
+    """
+    columns = {arg: F.max(F.when(F.col("var") == var, F.col("value"))).alias(f"_{arg}") for arg, var in inputs.items()}
+    wide = df.where(F.col("var").isin(*inputs.values())).groupBy("loc", "day").agg(*columns.values())
+    value = formula(**{arg: F.col(f"_{arg}") for arg in inputs})
+    return wide.select("loc", "day", value.alias("value"), F.lit(target).alias("var"))
+
+
 def per_second(df: DataFrame, value: str = "value") -> DataFrame:
     """Volume per day to volume per second."""
     return df.withColumn(value, F.col(value) / F.lit(float(SECONDS_PER_DAY)))

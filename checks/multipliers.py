@@ -211,3 +211,9 @@ def apply_differences(spark, d):
     obs = res.select(F.col("name").alias("obsnme"), F.col("group").alias("obgnme"), F.col("measured").alias("obsval"), "weight")
     t = M.apply_time_differences(M.time_differences(obs), res.select("name", F.col("modelled").alias("value")))
     return t.select("obsnme", *[rnd(c).alias(c) for c in ("diff1_obsval", "diff2_obsval", "diff_obsval")])
+
+
+@check("F3_statistic_registry", with_ctes("cells") + f"SELECT model_file, count(*) AS n, {q_rnd('avg(value)')} AS mean, {q_rnd('quantile_cont(value, 0.5)')} AS median FROM cells GROUP BY 1")
+def statistic_registry(spark, d):
+    t = _cells(spark, d).select("model_file", F.col("value").alias("new"), F.col("value").alias("org"))
+    return M.array_summary(t, statistics=["mean", "median"]).select("model_file", "n", rnd("mean").alias("mean"), rnd("median").alias("median"))

@@ -221,3 +221,11 @@ FROM m WHERE loc IN (SELECT loc FROM k) AND loc IN (SELECT loc FROM y)""")
 def snow(spark, d):
     return series.snow_cover_bounds(snow_input(spark, d)).select("loc", "day", rnd("lower").alias("lower"),
                                                                  rnd("upper").alias("upper"))
+
+
+@check("F1_user_diagnostic", with_ctes("daily_by_var") + f"""
+SELECT loc, day, {q_rnd("max(CASE WHEN var = 'A' THEN value END) / (max(CASE WHEN var = 'A' THEN value END) + max(CASE WHEN var = 'N' THEN value END))")} AS value, 'share' AS var
+FROM daily_by_var WHERE var IN ('A', 'N') GROUP BY loc, day""")
+def user_diagnostic(spark, d):
+    t = series.diagnostic(daily_by_var(spark, d), {"a": "A", "n": "N"}, lambda a, n: a / (a + n), "share")
+    return t.withColumn("value", rnd("value"))
