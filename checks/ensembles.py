@@ -149,14 +149,14 @@ def par_envelope(spark, d):
 , t AS (SELECT real, name, CASE WHEN partrans = 'log' THEN log10(value) ELSE value END AS a,
  CASE WHEN partrans = 'log' THEN log10(greatest(least(value, parubnd), parlbnd)) ELSE greatest(least(value, parubnd), parlbnd) END AS b
  FROM par_ensemble JOIN parameters ON parnme = name)
-SELECT name, {q_rnd('avg(a) - avg(b)')} AS mean_change, {q_rnd('CASE WHEN stddev_samp(a) > 1e-9 THEN 100 * (stddev_samp(a) - stddev_samp(b)) / stddev_samp(a) END', 4)} AS std_change FROM t GROUP BY 1""")
+SELECT name, {q_rnd('avg(a) - avg(b)', 9)} AS mean_change, {q_rnd('CASE WHEN stddev_samp(a) > 1e-9 THEN 100 * (stddev_samp(a) - stddev_samp(b)) / stddev_samp(a) END', 4)} AS std_change FROM t GROUP BY 1""")
 def change(spark, d):
     p = parameters(spark, d)
     first = par_ensemble(spark, d)
     t = E.change_summary(first, E.enforce_reset(first, p), p)
     spread = E.transform(first, p).groupBy("name").agg(F.stddev_samp("value").alias("s"))
     return t.join(spread, "name").select(
-        "name", rnd("mean_change").alias("mean_change"), rnd(F.when(F.col("s") > 1e-9, F.col("std_change")), 4).alias("std_change"))
+        "name", rnd("mean_change", 9).alias("mean_change"), rnd(F.when(F.col("s") > 1e-9, F.col("std_change")), 4).alias("std_change"))
 
 
 @check("A30_variance_reduction", with_ctes("ensemble") + f"""

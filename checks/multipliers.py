@@ -33,13 +33,13 @@ _cte("folded", "SELECT o_orderkey AS key, o_orderstatus AS model_file, " + _FOLD
 
 
 @check("J9_list_multipliers", with_ctes("folded") + f"""
-SELECT key, {q_sig('greatest(least(value, 400000), 50000) / 7')} AS value FROM folded""")
+SELECT key, {q_sig('greatest(least(value, 400000), 50000) / pi()')} AS value FROM folded""")
 def lists(spark, d):
     orders = read(spark, d, "orders")
     bounds = orders.select(F.col("o_orderstatus").alias("model_file"), F.lit("price").alias("col"), F.lit(50000.0).alias("lb"),
                            F.lit(400000.0).alias("ub")).distinct()
     t = M.apply_multipliers(list_table(spark, d), list_steps(spark, d), ["model_file", "key", "col"], bounds, ["model_file", "col"])
-    return t.select("key", sig(F.col("value") / 7).alias("value"))
+    return t.select("key", sig(F.col("value") / F.pi()).alias("value"))
 
 
 @check("J9_matched_key_count", with_ctes("steps") + """

@@ -21,15 +21,15 @@ TARGETS = [
 @check("plan_model_output", with_ctes("daily_by_var") + f"""
 , a AS (SELECT loc, date_trunc('month', day) AS m, avg(value) AS v FROM daily_by_var WHERE var = 'A' AND day BETWEEN date '1996-01-01' AND date '2000-12-31' GROUP BY 1, 2),
 n AS (SELECT loc, year(day) AS y, avg(value) AS v FROM daily_by_var WHERE var = 'N' AND day BETWEEN date '1997-01-01' AND date '1999-12-31' GROUP BY 1, 2)
-SELECT 'actet_mon:' || year(m) || '_' || month(m) || ':' || loc AS obsnme, {q_rnd('v')} AS obsval, 'actet_mon' AS obgnme FROM a
-UNION ALL SELECT 'actet_mean_mon:' || month(m) || ':' || loc, {q_rnd('avg(v)')}, 'actet_mean_mon' FROM a GROUP BY loc, month(m)
-UNION ALL SELECT 'recharge_ann:' || y || ':' || loc, {q_rnd('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())')}, 'recharge_ann' FROM n
-UNION ALL SELECT 'sca_daily:' || year(day) || '_' || month(day) || '_' || day(day) || ':' || loc, {q_rnd('value')}, 'sca_daily' FROM daily_by_var
+SELECT 'actet_mon:' || year(m) || '_' || month(m) || ':' || loc AS obsnme, {q_rnd('v', 9)} AS obsval, 'actet_mon' AS obgnme FROM a
+UNION ALL SELECT 'actet_mean_mon:' || month(m) || ':' || loc, {q_rnd('avg(v)', 9)}, 'actet_mean_mon' FROM a GROUP BY loc, month(m)
+UNION ALL SELECT 'recharge_ann:' || y || ':' || loc, {q_rnd('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())', 9)}, 'recharge_ann' FROM n
+UNION ALL SELECT 'sca_daily:' || year(day) || '_' || month(day) || '_' || day(day) || ':' || loc, {q_rnd('value', 9)}, 'sca_daily' FROM daily_by_var
   WHERE var = 'R' AND year(day) = 1998 AND month(day) NOT IN (7, 8)
-UNION ALL SELECT 'streamflow_mon:' || year(day) || '_' || month(day) || ':' || loc, {q_rnd('avg(value / 86400)')}, 'streamflow_mon' FROM daily_by_var
+UNION ALL SELECT 'streamflow_mon:' || year(day) || '_' || month(day) || ':' || loc, {q_rnd('avg(value / 86400)', 9)}, 'streamflow_mon' FROM daily_by_var
   WHERE var = 'R' AND day BETWEEN date '1996-01-01' AND date '2000-12-31' GROUP BY loc, year(day), month(day)""")
 def outputs(spark, d):
-    return model_output.observation_equivalents(daily_by_var(spark, d), TARGETS).withColumn("obsval", rnd("obsval"))
+    return model_output.observation_equivalents(daily_by_var(spark, d), TARGETS).withColumn("obsval", rnd("obsval", 9))
 
 
 @check("plan_weighted_observations", _CLASSES + f"""

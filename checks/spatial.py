@@ -34,9 +34,9 @@ def variogram(spark, d):
 
 @check("G2_point_covariance", with_ctes("points") + f"""
 SELECT zone, a AS row, b AS col, {q_rnd('v')} AS v FROM (SELECT p.zone, p.name AS a, q.name AS b, CASE WHEN p.name = q.name THEN 2.25 ELSE {_BALL.replace('dx', '(p.x - q.x)').replace('dy', '(p.y - q.y)')} END AS v
- FROM points p JOIN points q ON p.zone = q.zone AND p.name <= q.name) WHERE v <> 0""")
+ FROM points p JOIN points q ON p.zone = q.zone AND p.name <= q.name) WHERE abs(v) > 1e-9""")
 def point_cov(spark, d):
-    return G.point_covariance(points(spark, d), BALL, ["zone"]).withColumn("v", rnd("v"))
+    return G.point_covariance(points(spark, d), BALL, ["zone"]).where(F.abs("v") > 1e-9).withColumn("v", rnd("v"))
 
 
 @check("G2_dense_point_covariance", with_ctes("targets") + f"""
@@ -143,10 +143,10 @@ def _zone_inputs(spark, d):
 
 @check("G7_zone_prior", with_ctes("points") + f"""
 SELECT cast(zone AS varchar) AS "group", a AS row, b AS col, {q_rnd('r * sqrt(v1 * v2)')} AS v FROM (SELECT p.zone, p.name AS a, q.name AS b, 1 + abs(p.value) / 10000 AS v1, 1 + abs(q.value) / 10000 AS v2,
-  CASE WHEN p.name = q.name THEN 1 ELSE {_BALL.replace('dx', '(p.x - q.x)').replace('dy', '(p.y - q.y)')} / 2.25 END AS r FROM points p JOIN points q ON p.zone = q.zone AND p.name <= q.name WHERE p.x > 50 AND q.x > 50) WHERE r <> 0""")
+  CASE WHEN p.name = q.name THEN 1 ELSE {_BALL.replace('dx', '(p.x - q.x)').replace('dy', '(p.y - q.y)')} / 2.25 END AS r FROM points p JOIN points q ON p.zone = q.zone AND p.name <= q.name WHERE p.x > 50 AND q.x > 50) WHERE abs(r) > 1e-9""")
 def prior(spark, d):
     _, located, variance = _zone_inputs(spark, d)
-    return G.zone_prior(located, variance, BALL).withColumn("v", rnd("v"))
+    return G.zone_prior(located, variance, BALL).where(F.abs("v") > 1e-9).withColumn("v", rnd("v"))
 
 
 @check("G7_zone_draws", with_ctes("points") + "SELECT name, 400 AS n, true AS mean_ok, zone = 3 AS constant FROM points")
