@@ -98,18 +98,20 @@ def exact_quantiles(
     return picks.groupBy(*keys).agg(*aggs)
 
 
-def descending_rank(df: DataFrame, key: str, value: str, day: str) -> DataFrame:
+def descending_rank(df: DataFrame, key: str, value: str, day: str, source: DataFrame | None = None) -> DataFrame:
     """Adds ``rank`` (1 = largest positive value, ties broken by latest day) and
-    ``n_positive`` to every row of ``df``; both rank columns are NULL/absent-safe
-    for rows without a positive value.
+    ``n_positive`` to every row of ``df``; both are NULL on rows without a
+    positive value. The counts may be taken from ``source``, the same rows
+    before ``df`` was derived from them.
 
     Rows are counted per (key, bucket, value, year) before anything is ordered,
     so a window never sees more than the distinct values of one bucket or the
     days of one year.
     """
     rows = df.withColumn("_y", F.year(day))
+    counted = rows if source is None else source.withColumn("_y", F.year(day))
     ties = (
-        rows.where(F.col(value) > 0)
+        counted.where(F.col(value) > 0)
         .groupBy(key, F.col(value).alias("_v"), "_y")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", value_bucket(F.col("_v")))

@@ -21,17 +21,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookcal.functions.draws import uniform
-from brookcal.operators.pairs import gram_product
+from brookcal.operators.pairs import gram_tiles
 from brookcal.session import one_row, spread
 
 
-def _square(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    names = np.unique(np.concatenate([pdf["row"].to_numpy(dtype=object), pdf["col"].to_numpy(dtype=object)]).astype(str))
-    at = {k: i for i, k in enumerate(names)}
+def _square(tiles: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The full symmetric matrix of packed tiles."""
+    names = np.unique(np.concatenate([*tiles["rows"], *tiles["cols"]]))
     m = np.zeros((len(names), len(names)))
-    i, j = pdf["row"].map(at).to_numpy(), pdf["col"].map(at).to_numpy()
-    m[i, j] = pdf["v"].to_numpy()
-    m[j, i] = pdf["v"].to_numpy()
+    for rows, cols, v in zip(tiles["rows"], tiles["cols"], tiles["v"]):
+        i, j = np.searchsorted(names, rows), np.searchsorted(names, cols)
+        part = np.asarray(v).reshape(len(rows), len(cols))
+        m[np.ix_(i, j)] = part
+        m[np.ix_(j, i)] = part.T
     return names, m
 
 
@@ -80,7 +82,7 @@ def posterior_moments(
     dev = _scaled_deviations(ens)
     scaled = dev.join(noise, "name").select("run", "name", "real", (F.col("dev") / F.sqrt("var")).alias("v"))
     rows = scaled.join(members, "name").select("run", "group", F.col("real").alias("row"), F.col("name").alias("k"), "v")
-    gram = gram_product(rows, ["run", "group"], dense=True)
+    gram = gram_tiles(rows, ["run", "group"], dense=True)
     pred = dev.join(predictions.select("name"), "name", "left_semi")
     # every group meets every prediction: groups are listed by the caller, predictions come in tiles
     tiles = F.greatest(F.ceil(one_row(predictions, F.count(F.lit(1)))["x0"] / F.lit(512.0)), F.lit(1)).cast("int")
@@ -205,7 +207,7 @@ def group_conflict(ens: DataFrame, obs: DataFrame) -> DataFrame:
     sim = ens.join(o, "name").select("group", F.col("real").alias("row"), F.col("name").alias("k"), F.col("value").alias("v"))
     seen = o.select("group", F.lit("\x00obs").alias("row"), F.col("name").alias("k"), F.col("obsval").alias("v"))
     rows = sim.unionByName(seen)
-    gram = gram_product(rows, ["group"], dense=True)
+    gram = gram_tiles(rows, ["group"], dense=True)
     nx = o.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("nx"))
     return spread(gram.join(nx, "group"), "group").groupBy("group").applyInPandas(
         _loo_conflict, "obgnme string, z_score double, p_value double")

@@ -2,8 +2,8 @@
 
 A self join on realizations would emit one row per (pair, realization). Here
 both sides are cut into hash blocks of bounded size; each task multiplies two
-dense tiles with NumPy and emits one partial value per pair, and the partial
-values of the inner chunks are summed. Block counts come from the data, so a
+dense tiles with NumPy and emits the product as one packed row, and the partial
+tiles of the inner chunks are added. Block counts come from the data, so a
 tile stays the same size however many names or realizations there are.
 """
 
@@ -44,41 +44,70 @@ def _dense(names: np.ndarray, k: np.ndarray, v: np.ndarray, width: int) -> tuple
 
 def _multiplier(keys: list[str], symmetric: bool, dense: bool):
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        diagonal = symmetric and int(pdf["_bi"].iloc[0]) == int(pdf["_bj"].iloc[0])
+        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
         is_left = pdf["_left"].to_numpy(dtype=bool)
         k_codes, k_names = pd.factorize(pdf["_k"])
         a, v, width = pdf["_a"].to_numpy(dtype=object), pdf["_v"].to_numpy(dtype=float), len(k_names)
         rn, left, seen_l = _dense(a[is_left], k_codes[is_left], v[is_left], width)
-        if diagonal:
+        if symmetric and bi == bj:
             cn, right, seen_r = rn, left, seen_l
         else:
             cn, right, seen_r = _dense(a[~is_left], k_codes[~is_left], v[~is_left], width)
         product = left @ right.T
-        keep = np.ones(product.shape, dtype=bool) if dense else (seen_l @ seen_r.T) > 0
-        if diagonal:
-            keep &= rn[:, None] <= cn[None, :]
-        i, j = np.nonzero(keep)
-        out_a, out_b = rn[i], cn[j]
-        if symmetric and not diagonal:
-            swap = out_a > out_b
-            out_a, out_b = np.where(swap, out_b, out_a), np.where(swap, out_a, out_b)
-        same = {key: pdf[key].iloc[0] for key in keys}
-        return pd.DataFrame({**same, "row": out_a, "col": out_b, "v": product[i, j]})
+        if not dense:
+            product[(seen_l @ seen_r.T) == 0] = np.nan
+        same = {key: [pdf[key].iloc[0]] for key in keys}
+        return pd.DataFrame({**same, "_bi": [bi], "_bj": [bj], "rows": [rn], "cols": [cn], "v": [product.ravel()]})
 
     return multiply
 
 
+def _summer(keys: list[str]):
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) == 1:
+            return pdf
+        rn, cn = np.unique(np.concatenate(list(pdf["rows"]))), np.unique(np.concatenate(list(pdf["cols"])))
+        value, seen = np.zeros((len(rn), len(cn))), np.zeros((len(rn), len(cn)), dtype=bool)
+        for rows, cols, v in zip(pdf["rows"], pdf["cols"], pdf["v"]):
+            part = np.asarray(v).reshape(len(rows), len(cols))
+            at = np.ix_(np.searchsorted(rn, rows), np.searchsorted(cn, cols))
+            value[at] += np.nan_to_num(part)
+            seen[at] |= ~np.isnan(part)
+        value[~seen] = np.nan
+        same = {c: [pdf[c].iloc[0]] for c in [*keys, "_bi", "_bj"]}
+        return pd.DataFrame({**same, "rows": [rn], "cols": [cn], "v": [value.ravel()]})
+
+    return total
+
+
 def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], symmetric: bool, dense: bool) -> DataFrame:
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["row string", "col string", "v double"])
-    tile_key = [*keys, "_bi", "_bj", "_kc"]
-    parts = spread(both, *tile_key).groupBy(*tile_key).applyInPandas(_multiplier(keys, symmetric, dense), schema)
-    return parts.groupBy(*keys, "row", "col").agg(F.sum("v").alias("v"))
+    """One row per tile: names of both sides and the flattened values; NaN marks pairs that share no k.
 
+    Tiles travel packed, so no name is repeated per pair in a shuffle, and
+    chunks of the inner dimension are added tile by tile.
+    """
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [
+        "_bi int", "_bj int", "rows array<string>", "cols array<string>", "v array<double>"])
+    tile_key = [*keys, "_bi", "_bj"]
+    parts = spread(both, *tile_key, "_kc").groupBy(*tile_key, "_kc").applyInPandas(_multiplier(keys, symmetric, dense), schema)
+    return spread(parts, *tile_key).groupBy(*tile_key).applyInPandas(_summer(keys), schema)
 
-def gram_product(
+
+def _entries(tiles: DataFrame, keys: list[str], symmetric: bool) -> DataFrame:
+    width = F.size("cols")
+    long = tiles.select(*keys, "_bi", "_bj", "rows", "cols", F.posexplode("v").alias("_p", "v")).where(~F.isnan("v")).select(
+        *keys, "_bi", "_bj", F.get("rows", F.floor(F.col("_p") / width).cast("int")).alias("row"),
+        F.get("cols", F.col("_p") % width).alias("col"), "v")
+    if not symmetric:
+        return long.select(*keys, "row", "col", "v")
+    return long.where((F.col("_bi") < F.col("_bj")) | (F.col("row") <= F.col("col"))).select(
+        *keys, F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), "v")
+
+
+def gram_tiles(
     rows: DataFrame, keys: Sequence[str] = (), dense: bool = False, tile: int = TILE, inner: int = INNER
 ) -> DataFrame:
-    """Sum over k of v(a, k) x v(b, k) for every unordered pair a <= b, per key.
+    """Sum over k of v(a, k) x v(b, k), per key, as packed tiles with ``_bi`` <= ``_bj``.
 
     ``rows([keys,] row, k, v)`` is read once: each entry goes to the tiles of
     its block with the blocks after it (left) and before it (right); a diagonal
@@ -96,6 +125,13 @@ def gram_product(
     return _multiply_tiles(both, keys, dict(rows.dtypes), True, dense)
 
 
+def gram_product(
+    rows: DataFrame, keys: Sequence[str] = (), dense: bool = False, tile: int = TILE, inner: int = INNER
+) -> DataFrame:
+    """The Gram matrix of ``gram_tiles`` as (row, col, v) with row <= col."""
+    return _entries(gram_tiles(rows, keys, dense, tile, inner), list(keys), True)
+
+
 def block_product(
     left: DataFrame,
     right: DataFrame,
@@ -120,7 +156,7 @@ def block_product(
     rhs = right.select(
         *keys, F.col("col").alias("_a"), F.col("k").alias("_k"), v, F.lit(False).alias("_left"),
         every(rb).alias("_bi"), _bucket("k", kc).alias("_kc"), _bucket("col", cb).alias("_bj"))
-    return _multiply_tiles(lhs.unionByName(rhs), keys, dict(left.dtypes), False, dense)
+    return _entries(_multiply_tiles(lhs.unionByName(rhs), keys, dict(left.dtypes), False, dense), keys, False)
 
 
 # covariance ---------------------------------------------------------------

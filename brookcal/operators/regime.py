@@ -18,9 +18,9 @@ DAYS_PER_YEAR = 365.0
 _IDENTITY = 0 + (1 << 2) + (2 << 4) + (3 << 6)
 
 
-def recurrence_interval(flow: DataFrame) -> DataFrame:
+def recurrence_interval(flow: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """``ri`` in years: (n_positive/365 + 1) / rank, NULL without positive flow."""
-    return descending_rank(flow, "loc", "discharge", "day").withColumn(
+    return descending_rank(flow, "loc", "discharge", "day", source).withColumn(
         "ri", (F.col("n_positive") / F.lit(DAYS_PER_YEAR) + F.lit(1.0)) / F.col("rank")
     ).drop("n_positive", "rank")
 
@@ -130,10 +130,11 @@ def limb_states(flow: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     The sequential rule is evaluated as a parallel prefix: every quarter is
     folded into one transition table, the few tables of a gauge are chained to
     give each quarter's entry state, and the quarters are then played back.
+    ``keep`` names further columns of ``flow`` or of its thresholds to carry.
     """
     neighbours = with_calendar_neighbours(flow)
     gauges = _first_valid(neighbours).join(flow_thresholds(flow), "loc", "left")
-    payload = [c for c in dict.fromkeys(("discharge", *keep))]
+    payload = list(dict.fromkeys(("discharge", *keep)))
     days = neighbours.join(gauges, "loc", "left").select(
         "loc", "chunk", "day", _transition_code().alias("code"), F.col("first").isNotNull().alias("classified"), *payload
     )
@@ -199,10 +200,10 @@ def flow_class(discharge: Column, ri: Column, high_low: Column, p10: Column) ->
 
 def classify_flow(flow: DataFrame) -> DataFrame:
     """``(loc, day, discharge, ri, high_low, efc)`` for every input day."""
-    ranked = recurrence_interval(flow.select("loc", "day", "discharge"))
-    states = limb_states(ranked, keep=("ri",))
-    cuts = flow_thresholds(flow).select("loc", "p10")
-    return states.join(cuts, "loc", "left").select(
+    flow = flow.select("loc", "day", "discharge")
+    # p10 travels with the limb states; ranks are counted on the input, not on its derivatives
+    states = limb_states(flow, keep=("p10",))
+    return recurrence_interval(states, source=flow).select(
         "loc", "day", "discharge",
         F.when(F.col("high_low") != 0, F.col("ri")).alias("ri"),
         "high_low",
