@@ -69,7 +69,7 @@ def _summer(keys: list[str]):
         rn, cn = np.unique(np.concatenate(list(pdf["rows"]))), np.unique(np.concatenate(list(pdf["cols"])))
         value, seen = np.zeros((len(rn), len(cn))), np.zeros((len(rn), len(cn)), dtype=bool)
         for rows, cols, v in zip(pdf["rows"], pdf["cols"], pdf["v"]):
-            part = np.asarray(v).reshape(len(rows), len(cols))
+            part = np.asarray(v, dtype=float).reshape(len(rows), len(cols))
             at = np.ix_(np.searchsorted(rn, rows), np.searchsorted(cn, cols))
             value[at] += np.nan_to_num(part)
             seen[at] |= ~np.isnan(part)
@@ -81,7 +81,7 @@ def _summer(keys: list[str]):
 
 
 def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], symmetric: bool, dense: bool) -> DataFrame:
-    """One row per tile: names of both sides and the flattened values; NaN marks pairs that share no k.
+    """One row per tile: names of both sides and the flattened values; a missing value marks pairs that share no k.
 
     Tiles travel packed, so no name is repeated per pair in a shuffle, and
     chunks of the inner dimension are added tile by tile.
@@ -95,7 +95,8 @@ def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], sym
 
 def _entries(tiles: DataFrame, keys: list[str], symmetric: bool) -> DataFrame:
     width = F.size("cols")
-    long = tiles.select(*keys, "_bi", "_bj", "rows", "cols", F.posexplode("v").alias("_p", "v")).where(~F.isnan("v")).select(
+    long = tiles.select(*keys, "_bi", "_bj", "rows", "cols", F.posexplode("v").alias("_p", "v")).where(
+        F.col("v").isNotNull() & ~F.isnan("v")).select(
         *keys, "_bi", "_bj", F.get("rows", F.floor(F.col("_p") / width).cast("int")).alias("row"),
         F.get("cols", F.col("_p") % width).alias("col"), "v")
     if not symmetric:
