@@ -150,9 +150,8 @@ def best_additions(
         base = groups.where(F.col("group").isin(*picked)).select("name") if picked else None
         candidates = groups.where(~F.col("group").isin(*picked)) if picked else groups
         if base is not None:
-            names = candidates.select("group").distinct().withColumn(
-                "name", F.explode(base.agg(F.collect_set("name")).scalar()))
-            candidates = candidates.select("group", "name").unionByName(names).distinct()
+            names = base.withColumn("group", F.explode(candidates.agg(F.collect_set("group")).scalar()))
+            candidates = candidates.select("group", "name").unionByName(names.select("group", "name")).distinct()
         std, _ = posterior_moments(ens, candidates, noise, predictions, first_moment=False)
         best = (
             std.where(F.col("group") != "posterior").groupBy("group")

@@ -28,7 +28,7 @@ s AS (SELECT 'l_max_flow_mon' AS obgnme, sum(CASE WHEN v <= hi THEN 0 ELSE (hi -
  UNION ALL SELECT 'g_min_flow_mon', sum(CASE WHEN v >= lo THEN 0 ELSE (lo - v) * 5 * (lo - v) * 5 END) FROM m JOIN t USING (loc, period))
 SELECT obgnme, {q_sig('phi')} AS phi, {q_rnd('phi / (SELECT sum(phi) FROM s)')} AS share FROM s""")
 def range_target(spark, d):
-    days = series.period_slice(daily(spark, d), "1996-01-01", "2000-12-31")
+    days = daily(spark, d, "1996-01-01", "2000-12-31")
     bins = days.groupBy("loc", F.trunc("day", "month").alias("period")).agg(
         F.avg("value").alias("modelled"), (F.min("value") + 5).alias("lo"), (F.max("value") - 5).alias("hi"))
     per, loc = names.month_period(F.col("period")), F.col("loc")

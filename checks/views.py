@@ -36,10 +36,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # daily series -------------------------------------------------------------
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(loc, day, value): quantity shipped per supplier and day."""
+def daily(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(loc, day, value): quantity shipped per supplier and day; the optional period reaches the scan."""
+    line = read(spark, sf_dir, "lineitem")
+    if start is not None:
+        stamp = F.col("l_shipdate")
+        line = line.where((stamp >= F.lit(start).cast("timestamp_ntz")) & (stamp < F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 day")))
     return (
-        read(spark, sf_dir, "lineitem")
+        line
         .groupBy(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("loc"), F.to_date("l_shipdate").alias("day"))
         .agg(F.sum("l_quantity").alias("value"))
     )
