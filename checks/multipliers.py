@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brookcal.operators import multipliers as M
 from checks.registry import check, q_rnd, q_sig, rnd, sig
-from checks.views import _cte, daily, read, residuals, with_ctes
+from checks.views import _cte, read, residuals, with_ctes
 
 
 def list_table(spark, d):

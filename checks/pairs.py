@@ -6,7 +6,7 @@ from brookcal.operators import data_worth as W
 from brookcal.operators import pairs as X
 from brookcal.operators import sampling as D
 from checks.registry import check, q_rnd, q_sig, rnd, sig
-from checks.views import _cte, ensemble, observations, parameters, read, with_ctes
+from checks.views import _cte, ensemble, observations, read, with_ctes
 
 _cte("dev", "SELECT real, name, value - avg(value) OVER (PARTITION BY name) AS d FROM ensemble", ("ensemble",))
 _cte("cov", """
