@@ -48,17 +48,18 @@ def exact_quantiles(
         raise ValueError(f"unknown quantile method: {method}")
     keys = list(keys)
     rows = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .withColumn("_b", value_bucket(F.col("_v")))
+        df.where(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_v"), value_bucket(F.col(value).cast("double")).alias("_b"))
     )
     by_key = Window.partitionBy(*keys)
     ordered = by_key.orderBy("_b")
     counts = (
         rows.groupBy(*keys, "_b")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(by_key))
+        .withColumns({
+            "_before": F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
+            "_total": F.sum("_n").over(by_key),
+        })
     )
     wanted = []
     for prob in probs.values():

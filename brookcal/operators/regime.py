@@ -57,13 +57,13 @@ def with_calendar_neighbours(flow: DataFrame) -> DataFrame:
     before, after = F.lag("day").over(w), F.lead("day").over(w)
     adjacent_before = F.coalesce(F.date_diff("day", before) == 1, F.lit(False))
     return (
-        flow.withColumn("_c", F.explode(copies))
-        .withColumn("chunk", F.col("_c.chunk"))
-        .withColumn("_copy", F.col("_c.copy"))
-        .drop("_c")
-        .withColumn("has_prev", adjacent_before)
-        .withColumn("prev_q", F.when(adjacent_before, F.lag("discharge").over(w)))
-        .withColumn("next_q", F.when(F.date_diff(after, F.col("day")) == 1, F.lead("discharge").over(w)))
+        flow.select("*", F.explode(copies).alias("_c"))
+        .select(*flow.columns, F.col("_c.chunk").alias("chunk"), F.col("_c.copy").alias("_copy"))
+        .withColumns({
+            "has_prev": adjacent_before,
+            "prev_q": F.when(adjacent_before, F.lag("discharge").over(w)),
+            "next_q": F.when(F.date_diff(after, F.col("day")) == 1, F.lead("discharge").over(w)),
+        })
         .where(~F.col("_copy"))
         .drop("_copy")
     )
