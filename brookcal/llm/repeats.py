@@ -102,8 +102,10 @@ def remove_repeats(
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)])
 
-    joined = docs.join(
-        per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("x_id")) & (F.xxhash64(text_col) == F.col("x_tie")), "left",
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_col).alias("d_tie"))
+    joined = rows.join(per_doc, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_tie") == F.col("x_tie")), "left")
+    given = F.col("row")
+    return joined.select(
+        *[(cut(given[c], "x_spans") if c == text_col else given[c]).alias(c) for c in docs.columns],
+        F.coalesce("x_spans", F.array().cast("array<array<int>>")).alias("removed_spans"),
     )
-    columns = [cut(text_col, "x_spans").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce("x_spans", F.array().cast("array<array<int>>")).alias("removed_spans"))

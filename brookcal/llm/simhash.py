@@ -254,11 +254,12 @@ def keep_first(
     """One row of ``docs`` per component: the one with the smallest id (NULL last), then the smallest hash of its text."""
     found = near_duplicates(docs, distance, shingle, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    firsts = found.groupBy("root").agg(F.min(rank).alias("first"), F.min_by(F.lit(1), rank), F.count("*"))
+    firsts = found.groupBy("root").agg(F.min(rank).alias("first"))
     firsts = cut_lineage(firsts.select(F.col("first.doc_id").alias("x_id"), F.col("first.digest").alias("x_digest")))
-    kept = docs.join(
-        firsts, F.col(id_col).eqNullSafe(F.col("x_id")) & (F.xxhash64(text_col) == F.col("x_digest")), "left_semi",
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"))
+    kept = rows.join(
+        firsts, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("digest") == F.col("x_digest")), "left_semi",
+    ).select("row.*")
     if kept.select(F.lit(1)).count() > firsts.count():  # rows that occur twice
         kept = kept.dropDuplicates([id_col, text_col])
     return kept
