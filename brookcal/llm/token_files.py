@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,12 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> PieceEncoder:
+    """One encoder a worker process, so that tasks after each other share what it remembers."""
+    return PieceEncoder(path, end_id)
+
+
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
@@ -159,7 +166,7 @@ def write_token_files(
         encoder, ends, doc_ids, out = None, [0], [], None
         for ids, texts in _bounded(batches):
             if out is None:
-                encoder = PieceEncoder(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id)
                 end = np.array([end_id], dtype=encoder.dtype).tobytes()
                 store.create_dir(f"{root}/_attempts", recursive=True)
                 out = store.open_output_stream(attempt + ".ids")
