@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brookcal.session import cut_lineage
+
 ENDS = {"line": re.compile(r"[.!?]+(?=\s)|\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 
 
@@ -71,7 +73,8 @@ def repeated_spans(
     units = unit_rows(docs, unit, id_col, text_col)
     rank = F.struct(F.col("d_id").isNull().alias("last"), "d_id", "d_tie", "unit")
     firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final"))
-    firsts = firsts.where("first <> final").select(F.col("digest").alias("known"), "first")
+    # written out, so that the join below has two plain exchanges and a digest that is everywhere can be split over tasks
+    firsts = cut_lineage(firsts.where("first <> final").select(F.col("digest").alias("known"), "first"))
     repeats = units.join(firsts, F.col("digest") == F.col("known")).where(rank != F.col("first"))
     # islands of neighbouring units
     inside = Window.partitionBy("d_id", "d_tie").orderBy("unit")

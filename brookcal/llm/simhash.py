@@ -204,14 +204,15 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
 def component_roots(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``): the smallest node it is connected with.
 
-    Minimum-label hooking: each round, every node hangs on the smallest label among its neighbours, and labels are followed
-    one step. A round is written to the shared folder; the number of rounds grows with the logarithm of the longest chain.
+    Large stars and small stars in turn: neighbours of a node move to the smallest of them. A round is written to the shared
+    folder; the number of rounds grows with the logarithm of the longest chain. The smallest neighbours are written out before
+    they are joined, so that the node in the middle of a huge star can be split over tasks.
     """
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("m")))
         moved = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = moved.where("a <> b").distinct()
         # small star: a node and its smaller neighbours move to the smallest of them
