@@ -29,7 +29,7 @@ from brookcal.session import cut_lineage
 #: Fingerprints that one slice may receive before the space is cut into more slices; 8 bytes each.
 SLICE_FINGERPRINTS = 32_000_000
 #: Variants expanded at a time.
-EXPANDED = 4_000_000
+EXPANDED = 1_000_000
 LEAST_BITS = 8
 
 

@@ -39,7 +39,7 @@ class PieceEncoder:
     texts in which white space meets white space, go to the library as they are.
     """
 
-    MOST = 1_000_000  # pieces remembered by one worker; memory, not results, depends on it
+    MOST = 800_000  # pieces remembered by one worker; memory, not results, depends on it
 
     def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
@@ -128,7 +128,7 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[list, list]]:
+def _bounded(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Ids and texts in lots of about ``most`` characters."""
     ids, texts, size = [], [], 0
     for batch in batches:

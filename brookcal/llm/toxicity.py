@@ -29,7 +29,9 @@ RARE, FEWEST, MOST_NEEDED = 100, 4, 12
 #: Log ratios up to this size are taken for chance.
 CHANCE = 1.5
 PER_CLASS = 1_200
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Windows that are scored together.
+BATCH = 512
 #: Shrinking of word and trigram vectors per unit of learning rate.
 DECAY = 1.0
 _EDGE = ".,;:!?\"'()[]{}<>*-_"
@@ -215,8 +217,8 @@ class ToxicityModel:
                 spans += [(base + a, base + b) for a, b in own]
                 owner += [i] * len(own)
                 base += len(texts[i])
-            for a in range(0, len(spans), 2_048):
-                for i, x in zip(owner[a: a + 2_048], self.logits(table, index, spans[a: a + 2_048]).tolist()):
+            for a in range(0, len(spans), BATCH):
+                for i, x in zip(owner[a: a + BATCH], self.logits(table, index, spans[a: a + BATCH]).tolist()):
                     out[i] = max(out[i], x)
         return out
 
