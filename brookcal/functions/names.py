@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 
 def month_period(day: Column) -> Column:
     """``year_month`` without zero padding."""
-    return F.concat_ws("_", F.year(day), F.month(day))
+    return F.concat(F.year(day), F.lit("_"), F.month(day))
 
 
 def day_period(day: Column) -> Column:
     """``year_month_day`` without zero padding."""
-    return F.concat_ws("_", F.year(day), F.month(day), F.day(day))
+    return F.concat(F.year(day), F.lit("_"), F.month(day), F.lit("_"), F.day(day))
 
 
 def build_name(group: Column | str, period: Column, loc: Column) -> Column:
+    """``group:period:location``; NULL if any part is missing, since a shorter name would be parsed as another one."""
     group = F.lit(group) if isinstance(group, str) else group
-    return F.concat_ws(":", group, period.cast("string"), loc.cast("string"))
+    return F.concat(group, F.lit(":"), period.cast("string"), F.lit(":"), loc.cast("string"))
+
+
+def pad_id(loc: Column, width: int) -> Column:
+    """Zeros in front of ids shorter than ``width``; longer ids stay whole."""
+    loc = loc.cast("string")
+    return F.when(F.length(loc) < width, F.lpad(loc, width, "0")).otherwise(loc)
 
 
 def daily_flow_name(flow_class: Column, limb: Column, day: Column, loc: Column) -> Column:

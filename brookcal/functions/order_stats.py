@@ -42,11 +42,13 @@ def exact_quantiles(
     """One row per key with the requested exact quantiles as columns.
 
     ``method='linear'`` interpolates between neighbours, ``'nearest'`` takes the
-    element at the half-to-even rounded position. NULL values are skipped.
+    element at the half-to-even rounded position. NULL and NaN are skipped.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile method: {method}")
     keys = list(keys)
+    # NaN is a missing value, not one above all others
+    df = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))
     rows = (
         df.where(F.col(value).isNotNull())
         .select(*keys, F.col(value).cast("double").alias("_v"), value_bucket(F.col(value).cast("double")).alias("_b"))

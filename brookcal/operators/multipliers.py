@@ -91,10 +91,10 @@ def reindexed_multipliers(
 
 
 def barrier_multipliers(barriers: DataFrame, multipliers: DataFrame) -> DataFrame:
-    """Barrier conductivity times its multiplier, matched on the full five-part key."""
+    """Barrier conductivity times its multiplier, matched on the full five-part key; without one it stays as it is."""
     key = ["lay", "irow1", "icol1", "irow2", "icol2"]
-    return barriers.join(multipliers.select(*key, F.col("hydchr").alias("_m")), key).withColumn(
-        "hydchr", F.col("hydchr") * F.col("_m")).drop("_m")
+    return barriers.join(multipliers.select(*key, F.col("hydchr").alias("_m")), key, "left").withColumn(
+        "hydchr", F.col("hydchr") * F.coalesce("_m", F.lit(1.0))).drop("_m")
 
 
 def period_multipliers(segments: DataFrame, multipliers: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -183,7 +183,7 @@ def zero_weight_by_range(obs: DataFrame, ranges: DataFrame) -> DataFrame:
     Overlapping ranges collapse in the existence test.
     """
     r = ranges.select(
-        F.col("group"), F.lpad(F.col("location").cast("string"), 8, "0").alias("loc"),
+        F.col("group"), names.pad_id(F.col("location"), 8).alias("loc"),
         "stmonth", "endmonth", "styear", "endyear",
     )
     spans = r.groupBy("group", "loc").agg(F.collect_set(F.struct("stmonth", "endmonth", "styear", "endyear")).alias("_r"))

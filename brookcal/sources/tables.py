@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brookcal.functions.names import pad_id
+
 SERIES = T.StructType([
     T.StructField("loc", T.StringType()), T.StructField("day", T.DateType()),
     T.StructField("value", T.DoubleType()), T.StructField("var", T.StringType()),
@@ -52,7 +54,7 @@ def scan_dimension(
         elif dtype == "double":
             df = df.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
     for name, width in (padded_ids or {}).items():
-        df = df.withColumn(name, F.lpad(name, width, "0"))
+        df = df.withColumn(name, pad_id(F.col(name), width))
     return df
 
 

@@ -129,11 +129,13 @@ def reindexed(spark, d):
 
 
 @check("J17_barrier_multipliers", with_ctes("grid") + f"""
-SELECT file, k AS lay, i AS irow1, j AS icol1, i + 1 AS irow2, j AS icol2, {q_rnd('flux * (k * 0.1)')} AS hydchr FROM grid WHERE file = 'A' AND flux > 20""")
+, m AS (SELECT DISTINCT k, i, j, k * 0.1 AS mult FROM grid WHERE flux > 20)
+SELECT file, k AS lay, i AS irow1, j AS icol1, i + 1 AS irow2, j AS icol2, {q_rnd('flux * coalesce(mult, 1)')} AS hydchr
+FROM grid LEFT JOIN m USING (k, i, j)""")
 def barriers(spark, d):
-    g = _grid(spark, d).where("file = 'A'").select("file", F.col("k").alias("lay"), F.col("i").alias("irow1"), F.col("j").alias("icol1"),
+    g = _grid(spark, d).select("file", F.col("k").alias("lay"), F.col("i").alias("irow1"), F.col("j").alias("icol1"),
                                                    (F.col("i") + 1).alias("irow2"), F.col("j").alias("icol2"), F.col("flux").alias("hydchr"))
-    m = g.where("hydchr > 20").drop("file").withColumn("hydchr", F.col("lay") * 0.1)
+    m = g.where("hydchr > 20").drop("file", "hydchr").distinct().withColumn("hydchr", F.col("lay") * 0.1)
     return M.barrier_multipliers(g, m).select("file", "lay", "irow1", "icol1", "irow2", "icol2", rnd("hydchr").alias("hydchr"))
 
 

@@ -43,3 +43,10 @@ def test_ordered_chunks_number_and_lead_across_ranges(spark):
     for (g, n), (g2, n2) in zip(sorted(rows), sorted(rows)[1:] + [(None, None)]):
         assert lead[(g, n)] == (n2 if g2 == g else None)
     assert {r["n"]: r["row_number"] for r in number_in_group(df, "g", ["n"]).where("g <> 'hot'").collect()} == {"x": 0, "y": 0, "z": 1}
+
+
+def test_nan_is_missing(spark):
+    rows = [(v,) for v in (-3.0, -2.0, -1.0, 1.0, 2.0, float("nan"), None)]
+    df = spark.createDataFrame(rows, "value double").selectExpr("'k' AS key", "value")
+    got = exact_quantiles(df, ["key"], "value", {"median": 0.5, "most": 1.0}).first()
+    assert (got["median"], got["most"]) == (-1.0, 2.0)

@@ -79,3 +79,24 @@ def test_expansion_rejects_a_shape_mismatch(spark):
     bad = spark.createDataFrame([("p", [1, 2], [[1.0]])], "par string, ids array<int>, values array<array<double>>")
     with pytest.raises(Exception, match="differ in length"):
         P.expand(bad).collect()
+
+
+def test_long_ids_and_missing_parts_stay(spark):
+    from pyspark.sql import functions as F
+
+    from brookcal.functions import names
+
+    df = spark.createDataFrame([("54310157",), ("054310157",), ("7",), (None,)], "loc string")
+    got = [tuple(r) for r in df.select(names.pad_id(F.col("loc"), 8), names.build_name("g", F.lit("2000_1"), F.col("loc"))).collect()]
+    assert got == [
+        ("54310157", "g:2000_1:54310157"), ("054310157", "g:2000_1:054310157"), ("00000007", "g:2000_1:7"), (None, None),
+    ]
+
+
+def test_barriers_without_multiplier_stay(spark):
+    from brookcal.operators import multipliers
+
+    columns = "lay int, irow1 int, icol1 int, irow2 int, icol2 int, hydchr double"
+    barriers = spark.createDataFrame([(1, 1, 1, 2, 1, 4.0), (1, 5, 1, 6, 1, 3.0)], columns)
+    got = multipliers.barrier_multipliers(barriers, spark.createDataFrame([(1, 1, 1, 2, 1, 0.5)], columns)).collect()
+    assert sorted((r["irow1"], r["hydchr"]) for r in got) == [(1, 2.0), (5, 3.0)]
