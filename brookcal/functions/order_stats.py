@@ -5,7 +5,8 @@ window over the key sends all its rows to a single task. Both fail when one
 key holds a large part of the table. Here a key is cut into many small value
 buckets first: counts per bucket combine map-side, the offset of a bucket is a
 running sum over few buckets, and only the buckets that contain a wanted rank
-are looked at row by row.
+are looked at row by row. A bucket that holds many rows, as with values of a
+narrow range, is cut again between its own extremes.
 """
 
 from __future__ import annotations
@@ -16,16 +17,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 256
+CELL = 1024
 
 
 def value_bucket(value: Column) -> Column:
     """Order-preserving bucket number of a double, independent of the data.
 
-    Symmetric logarithmic spacing; the number of buckets is bounded by the
-    range of a double (about 2 x 1044 octaves), whatever the row count is.
+    Every octave of the range of a double, the tiniest included, has
+    ``BUCKETS_PER_OCTAVE`` buckets on each side of zero; zero and the
+    infinities have their own.
     """
-    octave = F.log2(F.abs(value) * F.lit(float(2**20)) + F.lit(1.0))
-    return F.floor(F.signum(value) * octave * F.lit(float(BUCKETS_PER_OCTAVE)))
+    size = F.abs(value)
+    octave = F.floor(F.log2(size))
+    place = F.when(size == float("inf"), F.lit(1100.0)).otherwise(octave + size / F.pow(F.lit(2.0), octave) - 1.0)
+    bucket = F.floor((place + 1076.0) * float(BUCKETS_PER_OCTAVE))
+    return F.when(value == 0, F.lit(0)).when(value < 0, -bucket).otherwise(bucket).cast("long")
+
+
+def _cell(value: Column, lo: Column, hi: Column, rows: Column) -> Column:
+    """Second cut, taken from the data: a bucket of many rows falls into equal steps between its extremes."""
+    steps = F.ceil(rows / F.lit(float(CELL)))
+    at = F.floor((value - lo) / (hi - lo) * steps)
+    return F.when((steps <= 1) | (lo == hi), F.lit(0)).otherwise(F.least(at, steps - 1)).cast("long")
 
 
 def _position(total: Column, prob: float) -> Column:
@@ -54,34 +67,38 @@ def exact_quantiles(
         .select(*keys, F.col(value).cast("double").alias("_v"), value_bucket(F.col(value).cast("double")).alias("_b"))
     )
     by_key = Window.partitionBy(*keys)
-    ordered = by_key.orderBy("_b")
-    counts = (
-        rows.groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({
-            "_before": F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"),
-            "_total": F.sum("_n").over(by_key),
-        })
-    )
+    running = Window.unboundedPreceding, 0
     wanted = []
     for prob in probs.values():
         pos = _position(F.col("_total"), prob)
         wanted += [F.rint(pos)] if method == "nearest" else [F.floor(pos), F.ceil(pos)]
     positions = F.array(*[w.cast("long") for w in wanted])
-    hit = F.exists(
-        positions,
-        lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")),
+    hit = F.exists(positions, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))
+    buckets = (
+        rows.groupBy(*keys, "_b")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumns({
+            "_before": F.sum("_n").over(by_key.orderBy("_b").rowsBetween(*running)) - F.col("_n"),
+            "_total": F.sum("_n").over(by_key),
+        })
+        .where(hit)
     )
-    hits = counts.where(hit).select(*keys, "_b", "_before", "_total")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    picks = (
-        rows.join(hits, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_v", "_before", "_total")
+    facts = ["_before", "_total"]
+    values = (
+        rows.join(buckets, [*keys, "_b"])
+        .groupBy(*keys, "_b", _cell(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_n")).alias("_s"), "_v", *facts)
         .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn(
-            "_end",
-            F.col("_before") + F.sum("_m").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-        )
+    )
+    steps = Window.partitionBy(*keys, "_b").orderBy("_s")
+    cells = (
+        values.groupBy(*keys, "_b", "_s", *facts).agg(F.sum("_m").alias("_n"))
+        .withColumn("_before", F.col("_before") + F.sum("_n").over(steps.rowsBetween(*running)) - F.col("_n"))
+        .where(hit).select(*keys, "_b", "_s", "_before")
+    )
+    inside = Window.partitionBy(*keys, "_b", "_s").orderBy("_v")
+    picks = (
+        values.drop("_before").join(cells, [*keys, "_b", "_s"])
+        .withColumn("_end", F.col("_before") + F.sum("_m").over(inside.rowsBetween(*running)))
         .withColumn("_start", F.col("_end") - F.col("_m"))
     )
 
@@ -108,8 +125,8 @@ def descending_rank(df: DataFrame, key: str, value: str, day: str, source: DataF
     before ``df`` was derived from them.
 
     Rows are counted per (key, bucket, value, year) before anything is ordered,
-    so a window never sees more than the distinct values of one bucket or the
-    days of one year.
+    so a window never sees more than the distinct values of one cell of a
+    bucket or the days of one year.
     """
     rows = df.withColumn("_y", F.year(day))
     counted = rows if source is None else source.withColumn("_y", F.year(day))
@@ -119,25 +136,24 @@ def descending_rank(df: DataFrame, key: str, value: str, day: str, source: DataF
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
-    before = Window.partitionBy(key, "_b").orderBy(F.desc("_v"), F.desc("_y"))
-    within = ties.withColumn(
-        "_in", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    )
     by_key = Window.partitionBy(key)
+    running = Window.unboundedPreceding, 0
     buckets = (
         ties.groupBy(key, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn(
-            "_off",
-            F.sum("_bn").over(by_key.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_bn"),
-        )
+        .agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_ties"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_off", F.sum("_bn").over(by_key.orderBy(F.desc("_b")).rowsBetween(*running)) - F.col("_bn"))
         .withColumn("n_positive", F.sum("_bn").over(by_key))
-        .drop("_bn")
     )
-    base = within.join(buckets, [key, "_b"]).select(
-        key, "_v", "_y", (F.col("_off") + F.col("_in")).alias("_start"), "n_positive"
+    placed = ties.join(buckets, [key, "_b"]).withColumn("_s", _cell(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_ties")))
+    down = Window.partitionBy(key, "_b").orderBy(F.desc("_s"))
+    cells = (
+        placed.groupBy(key, "_b", "_s").agg(F.sum("_n").alias("_cn"))
+        .withColumn("_above", F.sum("_cn").over(down.rowsBetween(*running)) - F.col("_cn"))
+        .drop("_cn")
     )
+    before = Window.partitionBy(key, "_b", "_s").orderBy(F.desc("_v"), F.desc("_y"))
+    within = placed.join(cells, [key, "_b", "_s"]).withColumn("_in", F.sum("_n").over(before.rowsBetween(*running)) - F.col("_n"))
+    base = within.select(key, "_v", "_y", (F.col("_off") + F.col("_above") + F.col("_in")).alias("_start"), "n_positive")
     tie = Window.partitionBy(key, value, "_y").orderBy(F.desc(day))
     return (
         rows.join(base.withColumnRenamed("_v", value), [key, value, "_y"], "left")

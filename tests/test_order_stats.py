@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from brookcal.functions.order_stats import descending_rank, exact_quantiles
+from brookcal.functions.order_stats import CELL, _cell, descending_rank, exact_quantiles, value_bucket
 from brookcal.functions.ordering import global_row_number, lead_in_group, number_in_group
 
 
@@ -50,3 +50,35 @@ def test_nan_is_missing(spark):
     df = spark.createDataFrame(rows, "value double").selectExpr("'k' AS key", "value")
     got = exact_quantiles(df, ["key"], "value", {"median": 0.5, "most": 1.0}).first()
     assert (got["median"], got["most"]) == (-1.0, 2.0)
+
+
+def _awkward(rng):
+    """Values in a narrow range, tiny ones, equal ones, infinite ones."""
+    return {
+        "narrow": 1e6 + np.arange(10_000) * 1e-3, "tiny": 10 ** rng.uniform(-300, -8, 10_000), "below": -1e6 - rng.uniform(0, 1, 10_000),
+        "equal": np.full(5_000, 3.25), "ends": np.array([-np.inf, -1.0, 0.0, 5e-324, 2.0, 1.7e308, np.inf]),
+    }
+
+
+def test_quantiles_of_narrow_tiny_and_equal_values(spark):
+    series = _awkward(np.random.default_rng(8))
+    df = spark.createDataFrame([(k, float(x)) for k, v in series.items() for x in v], "k string, v double").repartition(5)
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9}, "nearest").collect()}
+    for k, v in series.items():
+        assert [got[k][c] for c in ("lo", "mid", "hi")] == [np.quantile(v, p, method="nearest") for p in (0.1, 0.5, 0.9)]
+    rank = descending_rank(df.withColumn("day", F.lit("2001-01-01").cast("date")).where("k = 'narrow'"), "k", "v", "day")
+    top = rank.orderBy("rank").select("v").collect()
+    assert [r["v"] for r in top] == sorted(series["narrow"], reverse=True)
+
+
+def test_no_cell_holds_many_values_and_buckets_keep_the_order(spark):
+    series = _awkward(np.random.default_rng(9))
+    df = spark.createDataFrame([(k, float(x)) for k, v in series.items() for x in v], "k string, v double")
+    b = df.withColumn("b", value_bucket(F.col("v")))
+    stats = b.groupBy("k", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cells = b.join(stats, ["k", "b"]).withColumn("s", _cell(F.col("v"), F.col("lo"), F.col("hi"), F.col("n")))
+    assert cells.groupBy("k", "b", "s").agg(F.count_distinct("v").alias("d")).agg(F.max("d")).first()[0] < 2 * CELL
+    for k in series:
+        rows = [(r["v"], r["b"], r["s"]) for r in cells.where(F.col("k") == k).collect()]
+        places = [x[1:] for x in sorted(rows)]
+        assert places == sorted(places)
