@@ -13,9 +13,10 @@ from brookcal.functions.draws import standard_normal, triangular, uniform
 from brookcal.operators.ensembles import deviations
 from brookcal.operators.pairs import block_product
 from brookcal.operators.parameters import clip, log_span
-from brookcal.session import cut_lineage, one_row, spread
+from brookcal.session import one_row, spread
 
 MIN_WEIGHT = 1.0e-30
+MOST_IN_GROUP = 2048
 
 
 def observation_variance(obs: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def _long(draws: np.ndarray, names: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _factor_draw(n: int, seed: int):
-    """Draws of one small group: eigen factor, so semi-definite covariances are fine."""
+    """Draws of one group: eigen factor, so semi-definite covariances are fine."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["row"].to_numpy(dtype=object), pdf["col"].to_numpy(dtype=object)]).astype(str))
@@ -123,131 +124,20 @@ def _factor_draw(n: int, seed: int):
     return draw
 
 
-_TILE = "`group` string, bi int, bj int, rows array<string>, cols array<string>, v array<double>"
+def correlated_draw(cov: DataFrame, means: DataFrame, n: int, seed: int, most: int = MOST_IN_GROUP) -> DataFrame:
+    """Draws with the covariance ``cov(group, row, col, v)`` of every group (each pair once); ``means(name, mean)``.
 
-
-def _matrix(row) -> np.ndarray:
-    return np.asarray(row["v"], dtype=float).reshape(len(row["rows"]), len(row["cols"]))
-
-
-def _tile(like, values: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame([{**{c: like[c] for c in ("group", "bi", "bj", "rows", "cols")}, "v": values.ravel()}])
-
-
-def _pack_tile(key, members: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """One lower tile (bi >= bj) with every member name, absent entries 0."""
-    rows = np.sort(members.loc[members["side"] == "row", "name"].to_numpy(dtype=object))
-    cols = np.sort(members.loc[members["side"] == "col", "name"].to_numpy(dtype=object))
-    c = np.zeros((len(rows), len(cols)))
-    if len(entries):
-        i, j = np.searchsorted(rows, entries["a"].to_numpy(dtype=object)), np.searchsorted(cols, entries["b"].to_numpy(dtype=object))
-        c[i, j] = entries["v"].to_numpy()
-    if key[1] == key[2]:
-        c = np.maximum(np.abs(c), np.abs(c.T)) * np.where(np.abs(c) >= np.abs(c.T), np.sign(c), np.sign(c.T))
-    return pd.DataFrame([{"group": key[0], "bi": int(key[1]), "bj": int(key[2]), "rows": rows, "cols": cols, "v": c.ravel()}])
-
-
-def _cholesky(pdf: pd.DataFrame) -> pd.DataFrame:
-    row = pdf.iloc[0]
-    c = _matrix(row)
-    return _tile(row, np.linalg.cholesky(c + np.eye(len(c)) * (1e-10 * np.abs(np.diag(c)).max())))
-
-
-def _panel(key, panel: pd.DataFrame, diagonal: pd.DataFrame) -> pd.DataFrame:
-    if not len(panel):
-        return panel
-    row = panel.iloc[0]
-    return _tile(row, np.linalg.solve(_matrix(diagonal.iloc[0]), _matrix(row).T).T)
-
-
-def _update(key, trailing: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
-    if not len(trailing):
-        return trailing
-    row = trailing.iloc[0]
-    left = factors[factors["bi"] == row["bi"]].iloc[0]
-    right = factors[factors["bi"] == row["bj"]].iloc[0]
-    return _tile(row, _matrix(row) - _matrix(left) @ _matrix(right).T)
-
-
-def _renewed(df: DataFrame) -> DataFrame:
-    """The same columns under new identities, for a cogroup with frames of one origin."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _blocked_factor(cov: DataFrame, blocks: int) -> DataFrame:
-    """Lower Cholesky tiles of every group, by block columns.
-
-    Each step factors one diagonal tile per group, solves the tiles under it
-    and updates the tiles to the right: all are joins on tile numbers, and no
-    task holds more than three tiles.
-    """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    both = cov.select("group", F.col("row").alias("a"), F.col("col").alias("b"), "v").withColumn("bi", bucket("a")).withColumn("bj", bucket("b"))
-    swap = F.col("bi") < F.col("bj")
-    entries = both.select(
-        "group", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-        "v", F.greatest("bi", "bj").alias("bi"), F.least("bi", "bj").alias("bj"))
-    names = cov.select("group", F.col("row").alias("name")).unionByName(cov.select("group", F.col("col").alias("name"))).distinct()
-    numbered = names.withColumn("_b", bucket("name")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    as_row = numbered.where(F.col("_o") <= F.col("_b")).select("group", F.col("_b").alias("bi"), F.col("_o").alias("bj"), "name", F.lit("row").alias("side"))
-    as_col = numbered.where(F.col("_o") >= F.col("_b")).select("group", F.col("_o").alias("bi"), F.col("_b").alias("bj"), "name", F.lit("col").alias("side"))
-    members = as_row.unionByName(as_col)
-    key = ["group", "bi", "bj"]
-    tiles = cut_lineage(
-        spread(members, *key).groupBy(*key).cogroup(spread(_renewed(entries), *key).groupBy(*key)).applyInPandas(_pack_tile, _TILE))
-    done = []
-    for k in range(blocks):
-        column = tiles.where(F.col("bj") == k)
-        diagonal = column.where(F.col("bi") == k).groupBy(*key).applyInPandas(_cholesky, _TILE)
-        below = column.where(F.col("bi") > k)
-        carried = diagonal.join(below.select("group", F.col("bi").alias("_i")), "group").select(
-            "group", F.col("_i").alias("bi"), "bj", "rows", "cols", "v")
-        panel = below.groupBy(*key).cogroup(_renewed(carried).groupBy(*key)).applyInPandas(_panel, _TILE)
-        factors = cut_lineage(diagonal.unionByName(panel))
-        done.append(factors)
-        if k + 1 < blocks:
-            rest = tiles.where(F.col("bj") > k)
-            under = factors.where(F.col("bi") > k)
-            places = rest.select("group", F.col("bi").alias("ti"), F.col("bj").alias("tj"))
-            need = places.select("group", "ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("bi")).join(under, ["group", "bi"])
-            left = rest.withColumn("ti", F.col("bi")).withColumn("tj", F.col("bj"))
-            tile_key = ["group", "ti", "tj"]
-            tiles = cut_lineage(left.groupBy(*tile_key).cogroup(_renewed(need).groupBy(*tile_key)).applyInPandas(_update, _TILE))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _tile_draw(n: int, seed: int):
-    def draw(batches):
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                # every tile of a block column sees the same normals
-                z = _rng(seed, row["group"], str(row["bj"])).standard_normal((n, len(row["cols"])))
-                yield pd.DataFrame(_long(z @ _matrix(row).T, np.asarray(row["rows"], dtype=object)))
-
-    return draw
-
-
-def correlated_draw(cov: DataFrame, means: DataFrame, n: int, seed: int, tile: int = 1024) -> DataFrame:
-    """Draws with the covariance ``cov(group, row, col, v)`` of every group (each pair once).
-
-    Groups of up to ``tile`` names are factored in one task each. Larger ones
-    go through a blocked Cholesky factorization whose tiles are spread over the
-    cluster. ``means(name, mean)``.
+    A group is factored as a whole in one task, so it may have ``most`` names;
+    a larger one is an error. ``ensemble_based_draw`` needs no factor and takes
+    any number of names.
     """
-    sizes = cov.where(F.col("row") == F.col("col")).groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > tile)
-    out = "real string, name string, dev double"
-    small_cov = cov.join(large, "group", "left_anti")
-    dev = spread(small_cov, "group").groupBy("group").applyInPandas(_factor_draw(int(n), int(seed)), out)
-    # one number decides how many block columns the largest group needs
-    biggest = sizes.agg(F.max("_n").alias("n")).collect()[0]["n"] or 0
-    if biggest > tile:
-        factor = _blocked_factor(cov.join(large.select("group"), "group", "left_semi"), -(-int(biggest) // tile))
-        parts = factor.mapInPandas(_tile_draw(int(n), int(seed)), out)
-        dev = dev.unionByName(parts.groupBy("real", "name").agg(F.sum("dev").alias("dev")))
+    named = cov.where(F.col("row") == F.col("col"))
+    largest = one_row(named.groupBy("group").agg(F.count(F.lit(1)).alias("_n")), F.max("_n"))["x0"]
+    message = F.concat(F.lit("a correlated group has "), largest.cast("string"), F.lit(f" names, more than the {most} one task factors"))
+    # tested before any group is gathered
+    checked = cov.withColumn("v", F.when(largest > most, F.raise_error(message).cast("double")).otherwise(F.col("v")))
+    dev = spread(checked, "group").groupBy("group").applyInPandas(
+        _factor_draw(int(n), int(seed)), "real string, name string, dev double")
     return dev.join(means, "name").select("real", "name", (F.col("mean") + F.col("dev")).alias("value"))
 
 

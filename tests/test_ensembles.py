@@ -142,26 +142,20 @@ def test_kriging_weights_match_a_direct_solve(spark):
     assert np.isclose(e["t"], 1.2 + f[8] - f[:8] @ rhs[:8]) and e["on"] == 0.2 and e["far"] == pytest.approx(1.2)
 
 
-def test_blocked_factor_reproduces_the_covariance(spark):
+def test_correlated_draw_has_the_covariance_and_refuses_large_groups(spark):
     rng = np.random.default_rng(12)
-    m = 23
-    a = rng.normal(size=(m, m))
-    c = a @ a.T + np.eye(m)
-    names = [f"n{i:02d}" for i in range(m)]
-    rows = [("g", names[i], names[j], float(c[i, j])) for i in range(m) for j in range(i, m)]
+    groups = {"g": 23, "h": 2}
+    rows, full = [], {}
+    for g, m in groups.items():
+        a = rng.normal(size=(m, m))
+        full[g] = a @ a.T + np.eye(m)
+        rows += [(g, f"{g}{i:02d}", f"{g}{j:02d}", float(full[g][i, j])) for i in range(m) for j in range(i, m)]
     cov = spark.createDataFrame(rows, "group string, row string, col string, v double")
-    low = np.zeros((m, m))
-    order = {}
-    tiles = D._blocked_factor(cov, 3).collect()
-    for t in sorted(tiles, key=lambda t: (t["bi"], t["bj"])):
-        for name in t["rows"]:
-            order.setdefault(name, len(order))
-    for t in tiles:
-        i, j = [order[x] for x in t["rows"]], [order[x] for x in t["cols"]]
-        low[np.ix_(i, j)] = np.array(t["v"]).reshape(len(i), len(j))
-    back = low @ low.T
-    at = [order[x] for x in names]
-    assert np.allclose(back[np.ix_(at, at)], c)
-    draws = D.correlated_draw(cov, spark.createDataFrame([(x, 0.0) for x in names], "name string, mean double"), 3000, 4, tile=9)
-    x = draws.toPandas().pivot(index="real", columns="name", values="value")[names].to_numpy()
-    assert np.abs(np.cov(x.T) - c).max() < 0.12 * np.abs(c).max()
+    names = [f"{g}{i:02d}" for g, m in groups.items() for i in range(m)]
+    means = spark.createDataFrame([(x, 0.0) for x in names], "name string, mean double")
+    x = D.correlated_draw(cov, means, 3000, 4).toPandas().pivot(index="real", columns="name", values="value")
+    for g, m in groups.items():
+        own = x[[f"{g}{i:02d}" for i in range(m)]].to_numpy()
+        assert np.abs(np.cov(own.T) - full[g]).max() < 0.12 * np.abs(full[g]).max()
+    with pytest.raises(Exception, match="23 names"):
+        D.correlated_draw(cov, means, 10, 4, most=22).collect()
