@@ -125,25 +125,34 @@ def perturbations(pars: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def change_limits(pars: DataFrame, factor_max: float = 10.0, relative_max: float = 10.0, factor_orig: float = 0.001) -> DataFrame:
-    """Factor and relative change limits and the effective limits against the bounds."""
-    base = F.when(F.col("parval1") == 0, F.col("parubnd") / 4.0).otherwise(F.col("parval1"))
-    small = (F.col("partrans") != "log") & (F.abs("_b") < factor_orig * F.abs("_b"))
-    b = F.col("_b")
-    t = pars.withColumn("_b", base).withColumn("_b", F.when(small, b * factor_orig).otherwise(b))
-    up = F.when(b < 0, b / factor_max).when(b > 0, b * factor_max)
-    lo = F.when(b < 0, b * factor_max).when(b > 0, b / factor_max)
-    delta = F.abs(b) * relative_max
-    pick = lambda f, r: F.when(F.col("parchglim") == "factor", f).when(F.col("parchglim") == "relative", r)
-    return (
-        t.withColumn("fac_upper", up).withColumn("fac_lower", lo)
-        .withColumn("rel_upper", b + delta).withColumn("rel_lower", b - delta)
-        .withColumn("chg_upper", pick(F.col("fac_upper"), F.col("rel_upper")))
-        .withColumn("chg_lower", pick(F.col("fac_lower"), F.col("rel_lower")))
-        .withColumn("eff_upper", F.least("parubnd", "chg_upper"))
-        .withColumn("eff_lower", F.greatest("parlbnd", "chg_lower"))
-        .drop("_b")
-    )
+def change_limits(
+    pars: DataFrame, factor_max: float = 10.0, relative_max: float = 10.0, original: str | None = None, factor_orig: float = 0.001
+) -> DataFrame:
+    """Factor and relative change limits and the effective limits against the bounds.
+
+    A limit is measured from the current value, or from a quarter of the upper bound where that is 0. ``original`` names the
+    column of the starting values: the limit of a parameter that is not log-transformed is then never measured from less than
+    ``factor_orig`` of it.
+    """
+    value = F.col("parval1")
+    base = F.when(value == 0, F.col("parubnd") / 4.0).otherwise(value)
+    if original is not None:
+        least = F.col(original) * factor_orig
+        base = F.when((F.col("partrans") != "log") & (F.abs(base) < F.abs(least)), least).otherwise(base)
+    t = pars.withColumn("_b", base)
+    b, away = F.col("_b"), F.abs("_b")
+    # a factor moves the magnitude and leaves the sign; a value of 0 has no factor limits
+    ends = F.when(b != 0, F.array_sort(F.array(b * factor_max, b / factor_max)))
+    t = t.withColumns({
+        "fac_lower": ends[0], "fac_upper": ends[1],
+        "rel_lower": b - away * relative_max, "rel_upper": b + away * relative_max,
+    }).drop("_b")
+    by_kind = {
+        f"chg_{side}": F.when(F.col("parchglim") == "factor", F.col(f"fac_{side}"))
+        .when(F.col("parchglim") == "relative", F.col(f"rel_{side}")) for side in ("lower", "upper")
+    }
+    return t.withColumns(by_kind).withColumns({
+        "eff_lower": F.greatest("parlbnd", "chg_lower"), "eff_upper": F.least("parubnd", "chg_upper")})
 
 
 def at_bounds(pars: DataFrame, frac_tol: float = 0.01) -> DataFrame:

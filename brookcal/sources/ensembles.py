@@ -35,9 +35,9 @@ def scan_ensemble(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_phi_history(spark: SparkSession, path: str) -> DataFrame:
-    """(iteration, real, phi) without the summary columns."""
+    """(iteration, real, phi) without the summary columns; a realization without a phi stays, with NULL."""
     t = scan_wide(spark, path, "iteration", "real", PHI_SUMMARY_COLUMNS)
-    return t.select(F.col("iteration").cast("int").alias("iteration"), "real", F.col("value").alias("phi")).where(F.col("phi").isNotNull())
+    return t.select(F.col("iteration").cast("int").alias("iteration"), "real", F.col("value").alias("phi"))
 
 
 def scan_conflicts(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brookcal.operators import ensembles as E
+from brookcal.operators import parameters as P
 from brookcal.operators import sampling as D
 from brookcal.operators import scoring as S
 from checks.registry import check, q_rnd, q_sig, rnd, sig
@@ -287,26 +288,28 @@ def gaussian(spark, d):
 
 @check("N12_uniform_and_triangular_draw", with_ctes("parameters") + """
 , k AS (SELECT unnest(['uniform', 'triangular']) AS how)
-SELECT how, parnme AS name, true AS inside, true AS mean_ok FROM parameters, k WHERE partrans = 'none' AND parubnd >= parval1""")
+SELECT how, parnme AS name, true AS inside, true AS mean_ok FROM parameters, k WHERE partrans NOT IN ('tied', 'fixed')""")
 def flat(spark, d):
-    pars = parameters(spark, d).where("partrans = 'none' AND parubnd >= parval1")
+    pars = P.enforce_bounds(parameters(spark, d)).where("partrans NOT IN ('tied', 'fixed')")
+    space = lambda c: F.when(F.col("partrans") == "log", F.log10(F.col(c))).otherwise(F.col(c))
+    known = pars.withColumns({f"_{c}": space(c) for c in ("parlbnd", "parval1", "parubnd")})
+    lo, mid, hi = F.col("_parlbnd"), F.col("_parval1"), F.col("_parubnd")
     out = None
     for how in ("uniform", "triangular"):
-        centre = (F.col("parlbnd") + F.col("parubnd")) / 2 if how == "uniform" else (
-            F.col("parlbnd") + F.col("parubnd") + F.col("parval1")) / 3
-        draws = D.parameter_draw(pars, 800, seed=5, default=how)
-        m = draws.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("a"))
-        t = m.join(pars, F.col("parnme") == F.col("name")).select(
-            F.lit(how).alias("how"), "name", ((F.col("lo") >= F.col("parlbnd")) & (F.col("hi") <= F.col("parubnd"))).alias("inside"),
-            (F.abs(F.col("a") - centre) < 6 * (F.col("parubnd") - F.col("parlbnd")) / (12 * 800) ** 0.5).alias("mean_ok"))
+        centre = (lo + hi) / 2 if how == "uniform" else (lo + mid + hi) / 3
+        draws = D.parameter_draw(pars, 800, seed=5, default=how).join(known, F.col("parnme") == F.col("name"))
+        t = draws.groupBy("name").agg(
+            F.bool_and(F.col("value").between(F.col("parlbnd"), F.col("parubnd"))).alias("inside"),
+            F.abs(F.avg(space("value") - centre)).alias("_off"), F.max(6 * (hi - lo) / (12 * 800) ** 0.5).alias("_err"),
+        ).select(F.lit(how).alias("how"), "name", "inside", (F.col("_off") <= F.col("_err")).alias("mean_ok"))
         out = t if out is None else out.unionByName(t)
     return out
 
 
 @check("N13_mixed_draw", with_ctes("parameters") + """
-SELECT parnme AS name, 50 AS n, true AS inside, partrans IN ('tied', 'fixed') AS constant FROM parameters WHERE parubnd >= parval1""")
+SELECT parnme AS name, 50 AS n, true AS inside, partrans IN ('tied', 'fixed') AS constant FROM parameters""")
 def mixed(spark, d):
-    pars = parameters(spark, d).where("parubnd >= parval1")
+    pars = P.enforce_bounds(parameters(spark, d))
     how = pars.select("parnme", F.when(F.col("parchglim") == "factor", "uniform").otherwise("triangular").alias("how")).where("how = 'uniform'")
     m = D.parameter_draw(pars, 50, seed=9, how=how).groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
