@@ -63,6 +63,16 @@ def pair_scan(spark, d):
     return SX.scan_pairs(spark, spread_lines(spark, body, ["obsname    obsval"], "pairs"))
 
 
+@check("S3_rejected_lines", with_ctes("daily") + """
+SELECT CASE WHEN value < 5 THEN 'no value' ELSE 'text' END AS kind, count(*) AS n FROM daily WHERE value < 5 OR value > 90 GROUP BY 1""")
+def rejected_pairs(spark, d):
+    name = F.format_string("flow:%s:%s", "loc", F.col("day").cast("string"))
+    body = daily(spark, d).select(F.when(F.col("value") < 5, name).when(F.col("value") > 90, F.concat_ws(" ", name, F.lit("12x"))).otherwise(
+        F.concat_ws(" ", name, F.col("value").cast("string"))).alias("value"))
+    lines = SX.rejected_lines(spark, spread_lines(spark, body, ["obsname    obsval"], "damaged"), "pairs")
+    return lines.groupBy(F.when(F.col("value").contains(" "), "text").otherwise("no value").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("S4_observation_sink", with_ctes("residuals") + """
 SELECT name AS obsnme, measured AS obsval, "group" AS obgnme FROM residuals UNION ALL SELECT 'alt:' || name, modelled, 'alternative' FROM residuals""")
 def observation_sink(spark, d):

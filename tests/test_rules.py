@@ -100,3 +100,31 @@ def test_barriers_without_multiplier_stay(spark):
     barriers = spark.createDataFrame([(1, 1, 1, 2, 1, 4.0), (1, 5, 1, 6, 1, 3.0)], columns)
     got = multipliers.barrier_multipliers(barriers, spark.createDataFrame([(1, 1, 1, 2, 1, 0.5)], columns)).collect()
     assert sorted((r["irow1"], r["hydchr"]) for r in got) == [(1, 2.0), (5, 3.0)]
+
+
+def test_lines_a_scan_leaves_out_are_reported(spark, tmp_path):
+    from brookcal.sources import text
+
+    files = {
+        "pairs": (["name obsval", "a 1.0", "b", "c 1.x", "d na", "", "e 2.0 note"], ["b", "c 1.x"]),
+        "parameter_values": (["single point", "p 1.0 1.0 0.0", "q 1.0 1.0", "r 1 one 0"], ["q 1.0 1.0", "r 1 one 0"]),
+        "site_samples": (["s 01/02/2000 00:00:00 1.5", "s 01/02/2000 00:00:00 dry", "s 01/02/2000 1.5", "s 41/42/2000 00:00:00 1.5"],
+                         ["s 01/02/2000 1.5", "s 41/42/2000 00:00:00 1.5"]),
+        "pilot_points": (["p 1.0 2.0 1 3.0", "p 1.0 2.0 3.0", "p 1.0 2.0 1 none"], ["p 1.0 2.0 3.0", "p 1.0 2.0 1 none"]),
+        "residuals": ([" OUTPUT", "Name Group Measured Modelled Residual Weight", "a g 1 2 -1 1", "b g 1 2 Cov. 1", "c g 1 2", "d g 1 two -1 1"],
+                      ["c g 1 2", "d g 1 two -1 1"]),
+    }
+    for kind, (lines, bad) in files.items():
+        (tmp_path / f"{kind}.txt").write_text("\n".join(lines) + "\n")
+        assert sorted(r["value"] for r in text.rejected_lines(spark, str(tmp_path / f"{kind}.txt"), kind).collect()) == sorted(bad)
+    with pytest.raises(ValueError, match="unknown format"):
+        text.rejected_lines(spark, str(tmp_path), "other")
+
+
+def test_change_limits_start_from_the_original_value(spark):
+    rows = [("a", "none", "factor", 1e-6, 0.0, 10.0, 2.0), ("b", "log", "factor", 1e-6, 0.0, 10.0, 2.0), ("c", "none", "relative", -4.0, -9.0, 9.0, -4.0),
+            ("d", "none", "factor", -4.0, -99.0, 9.0, -4.0)]
+    pars = spark.createDataFrame(rows, "parnme string, partrans string, parchglim string, parval1 double, parlbnd double, parubnd double, start double")
+    got = {r["parnme"]: (r["chg_lower"], r["chg_upper"]) for r in P.change_limits(pars, 10.0, 0.5, "start").collect()}
+    want = {"a": (2e-4, 2e-2), "b": (1e-7, 1e-5), "c": (-6.0, -2.0), "d": (-40.0, -0.4)}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
