@@ -8,7 +8,8 @@ without bound. Their duals have one row per realization: for deviations D
 
 so only D R^-1 D' is needed. That Gram matrix is a blocked product over the
 observations; one group then solves a system of the size of the ensemble,
-which is fixed by the run and does not grow with the data.
+which is fixed by the run and does not grow with the data. An ensemble of more
+than ``MOST_REALIZATIONS`` is an error, since one task holds that system.
 """
 
 from __future__ import annotations
@@ -17,13 +18,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookcal.functions.draws import uniform
 from brookcal.operators.pairs import gram_tiles
 from brookcal.session import one_row, spread
 
+MOST_REALIZATIONS = 5000
+
+
+def _solvable(n: Column) -> Column:
+    message = F.concat(n.cast("string"), F.lit(f" realizations are more than the {MOST_REALIZATIONS} one task solves for"))
+    return F.when(n > MOST_REALIZATIONS, F.raise_error(message).cast("long")).otherwise(n)
+
 
 def _square(tiles: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The full symmetric matrix of packed tiles."""
@@ -39,7 +47,9 @@ def _square(tiles: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _apply_gain(key, gram: pd.DataFrame, pred: pd.DataFrame) -> pd.DataFrame:
     """(I - (I + K)^-1) d for every prediction column of one tile."""
-    if not len(gram) or not len(pred):
+    if not len(gram):
+        raise ValueError(f"group {key[1]} has no values in the ensemble")
+    if not len(pred):
         return pd.DataFrame({"run": [], "group": [], "real": [], "name": [], "md": []})
     reals, k = _square(gram)
     n = len(reals)
@@ -55,7 +65,7 @@ def _apply_gain(key, gram: pd.DataFrame, pred: pd.DataFrame) -> pd.DataFrame:
 
 def _scaled_deviations(ens: DataFrame) -> DataFrame:
     """Deviations over sqrt(n - 1) per run, with the prior mean of every name."""
-    n = ens.groupBy("run").agg(F.count_distinct("real").alias("_n"))
+    n = ens.groupBy("run").agg(_solvable(F.count_distinct("real")).alias("_n"))
     c = ens.groupBy("run", "name").agg(F.avg("value").alias("prior_mean"), F.var_samp("value").alias("prior_var"))
     return ens.join(c, ["run", "name"]).join(n, "run").withColumn(
         "dev", (F.col("value") - F.col("prior_mean")) / F.sqrt(F.col("_n") - 1.0))
@@ -73,15 +83,18 @@ def posterior_moments(
     ``ens([run,] real, name, value)``, ``groups(group, name)``, ``noise(name, var)``,
     ``predictions(name)``. A group ``posterior`` with every listed name is added.
     Returns ``(run, group, name, prior_std, post_std, percent_reduction)`` and
-    ``(run, group, real, name, mean)``.
+    ``(run, group, real, name, mean)``. A listed name without noise variance and
+    a group without any value in the ensemble are errors.
     """
     if "run" not in ens.columns:
         ens = ens.withColumn("run", F.lit("all"))
     everything = groups.select(F.lit("posterior").alias("group"), "name").distinct()
     members = groups.select("group", "name").unionByName(everything)
     dev = _scaled_deviations(ens)
-    scaled = dev.join(noise, "name").select("run", "name", "real", (F.col("dev") / F.sqrt("var")).alias("v"))
-    rows = scaled.join(members, "name").select("run", "group", F.col("real").alias("row"), F.col("name").alias("k"), "v")
+    unknown = F.raise_error(F.concat(F.lit("no noise variance for "), F.col("name"))).cast("double")
+    weighed = members.join(noise.select("name", "var"), "name", "left").withColumn("var", F.coalesce("var", unknown))
+    rows = dev.join(weighed, "name").select(
+        "run", "group", F.col("real").alias("row"), F.col("name").alias("k"), (F.col("dev") / F.sqrt("var")).alias("v"))
     gram = gram_tiles(rows, ["run", "group"], dense=True)
     pred = dev.join(predictions.select("name"), "name", "left_semi")
     # every group meets every prediction: groups are listed by the caller, predictions come in tiles
@@ -203,10 +216,11 @@ def _loo_conflict(pdf: pd.DataFrame) -> pd.DataFrame:
 def group_conflict(ens: DataFrame, obs: DataFrame) -> DataFrame:
     """Per group: z-score and p-value of the observed row among leave-one-out distances."""
     o = obs.where(F.col("weight") > 0).select(F.col("obsnme").alias("name"), F.col("obgnme").alias("group"), "obsval")
+    size = one_row(ens, F.count_distinct("real"))["x0"]
     sim = ens.join(o, "name").select("group", F.col("real").alias("row"), F.col("name").alias("k"), F.col("value").alias("v"))
     seen = o.select("group", F.lit("\x00obs").alias("row"), F.col("name").alias("k"), F.col("obsval").alias("v"))
     rows = sim.unionByName(seen)
     gram = gram_tiles(rows, ["group"], dense=True)
-    nx = o.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("nx"))
+    nx = o.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("nx")).where(_solvable(size) > 0)
     return spread(gram.join(nx, "group"), "group").groupBy("group").applyInPandas(
         _loo_conflict, "obgnme string, z_score double, p_value double")

@@ -9,7 +9,7 @@ tile stays the same size however many names or realizations there are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,19 +63,24 @@ def _multiplier(keys: list[str], symmetric: bool, dense: bool):
 
 
 def _summer(keys: list[str]):
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 1:
-            return pdf
-        rn, cn = np.unique(np.concatenate(list(pdf["rows"]))), np.unique(np.concatenate(list(pdf["cols"])))
-        value, seen = np.zeros((len(rn), len(cn))), np.zeros((len(rn), len(cn)), dtype=bool)
-        for rows, cols, v in zip(pdf["rows"], pdf["cols"], pdf["v"]):
-            part = np.asarray(v, dtype=float).reshape(len(rows), len(cols))
-            at = np.ix_(np.searchsorted(rn, rows), np.searchsorted(cn, cols))
-            value[at] += np.nan_to_num(part)
-            seen[at] |= ~np.isnan(part)
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        same, rn, cn = {}, np.array([], dtype=object), np.array([], dtype=object)
+        value, seen = np.zeros((0, 0)), np.zeros((0, 0), dtype=bool)
+        for pdf in batches:
+            same = same or {c: [pdf[c].iloc[0]] for c in [*keys, "_bi", "_bj"]}
+            for rows, cols, v in zip(pdf["rows"], pdf["cols"], pdf["v"]):
+                all_rows, all_cols = np.union1d(rn, rows), np.union1d(cn, cols)
+                if (len(all_rows), len(all_cols)) != value.shape:
+                    kept = np.ix_(np.searchsorted(all_rows, rn), np.searchsorted(all_cols, cn))
+                    wider, known = np.zeros((len(all_rows), len(all_cols))), np.zeros((len(all_rows), len(all_cols)), dtype=bool)
+                    wider[kept], known[kept] = value, seen
+                    rn, cn, value, seen = all_rows, all_cols, wider, known
+                part = np.asarray(v, dtype=float).reshape(len(rows), len(cols))
+                at = np.ix_(np.searchsorted(rn, rows), np.searchsorted(cn, cols))
+                value[at] += np.nan_to_num(part)
+                seen[at] |= ~np.isnan(part)
         value[~seen] = np.nan
-        same = {c: [pdf[c].iloc[0]] for c in [*keys, "_bi", "_bj"]}
-        return pd.DataFrame({**same, "rows": [rn], "cols": [cn], "v": [value.ravel()]})
+        yield pd.DataFrame({**same, "rows": [rn], "cols": [cn], "v": [value.ravel()]})
 
     return total
 
@@ -83,8 +88,9 @@ def _summer(keys: list[str]):
 def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], symmetric: bool, dense: bool) -> DataFrame:
     """One row per tile: names of both sides and the flattened values; a missing value marks pairs that share no k.
 
-    Tiles travel packed, so no name is repeated per pair in a shuffle, and
-    chunks of the inner dimension are added tile by tile.
+    Tiles travel packed, so no name is repeated per pair in a shuffle. Chunks
+    of the inner dimension are added as they arrive: a task holds the sum and
+    one batch, however many chunks there are.
     """
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [
         "_bi int", "_bj int", "rows array<string>", "cols array<string>", "v array<double>"])

@@ -159,3 +159,29 @@ def test_correlated_draw_has_the_covariance_and_refuses_large_groups(spark):
         assert np.abs(np.cov(own.T) - full[g]).max() < 0.12 * np.abs(full[g]).max()
     with pytest.raises(Exception, match="23 names"):
         D.correlated_draw(cov, means, 10, 4, most=22).collect()
+
+
+def test_data_worth_refuses_missing_variances_and_oversized_ensembles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    ens = spark.createDataFrame([(str(r), n, float(rng.normal())) for r in range(12) for n in ("a", "b", "p")], "real string, name string, value double")
+    groups = spark.createDataFrame([("g", "a"), ("h", "b")], "`group` string, name string")
+    predictions = spark.createDataFrame([("p",)], "name string")
+    both = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "name string, var double")
+    std, _ = W.posterior_moments(ens, groups, both, predictions, first_moment=False)
+    assert {r["group"] for r in std.collect()} == {"g", "h", "posterior"}
+    with pytest.raises(Exception, match="no noise variance for b"):
+        W.posterior_moments(ens, groups, both.where("name = 'a'"), predictions, first_moment=False)[0].collect()
+    monkeypatch.setattr(W, "MOST_REALIZATIONS", 11)
+    with pytest.raises(Exception, match="12 realizations"):
+        W.posterior_moments(ens, groups, both, predictions, first_moment=False)[0].collect()
+
+
+def test_chunks_of_the_inner_dimension_add_up(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(40, 7))
+    m[rng.random(m.shape) < 0.6] = 0.0
+    entries = [(f"r{j}", f"k{i:02d}", float(m[i, j])) for i in range(40) for j in range(7) if m[i, j]]
+    rows = spark.createDataFrame(entries, "row string, k string, v double")
+    got = {(r["row"], r["col"]): r["v"] for r in X.gram_product(rows, tile=3, inner=2).collect()}
+    want = {(f"r{i}", f"r{j}"): float(m[:, i] @ m[:, j]) for i in range(7) for j in range(i, 7) if (m[:, i] * m[:, j]).any()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
