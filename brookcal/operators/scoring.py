@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from brookcal.functions import metrics as M
@@ -20,6 +20,11 @@ from brookcal.session import one_row
 TOTAL = "total"
 
 
+def _all_groups() -> WindowSpec:
+    """Window for tables of one row per group only: the rows behind them are read once."""
+    return Window.partitionBy(F.lit(0))
+
+
 def contribution() -> Column:
     """(residual x weight)^2 with honoured bounds at 0."""
     swr = one_sided_residual(F.col("group"), F.col("measured"), F.col("modelled")) * F.col("weight")
@@ -40,9 +45,7 @@ def phi_with_total(res: DataFrame) -> DataFrame:
 
 def phi_normalised(res: DataFrame) -> DataFrame:
     """Component / total; the window runs over one row per group."""
-    comps = phi_components(res)
-    total = one_row(comps, F.sum("phi"))
-    return comps.withColumn("share", F.try_divide(F.col("phi"), total["x0"]))
+    return phi_components(res).withColumn("share", F.try_divide(F.col("phi"), F.sum("phi").over(_all_groups())))
 
 
 def equation_phi(eq: DataFrame) -> DataFrame:
@@ -116,21 +119,18 @@ def target_contributions(
     """
     comps = phi_components(res).withColumn("_daily", F.lower("group").startswith(daily_prefix))
     comps = comps.withColumn("_low", _is_low(F.col("group")))
-    totals = one_row(
-        comps,
-        F.sum("phi"),
-        F.sum(F.when(F.col("_daily") & F.col("_low"), F.col("phi"))),
-        F.sum(F.when(F.col("_daily") & ~F.col("_low"), F.col("phi"))),
-    )
-    prorated = F.when(
-        F.col("_low"), F.try_divide(F.col("phi"), totals["x1"]) * (low_share * daily_share)
-    ).otherwise(F.try_divide(F.col("phi"), totals["x2"]) * ((1.0 - low_share) * daily_share))
+    comps = comps.withColumns({
+        "_all": F.sum("phi").over(_all_groups()),
+        "_class": F.sum("phi").over(Window.partitionBy("_daily", "_low")),
+    })
+    class_share = F.when(F.col("_low"), F.lit(low_share)).otherwise(F.lit(1.0 - low_share))
+    prorated = F.try_divide(F.col("phi"), F.col("_class")) * class_share * daily_share
     out = comps.join(fractions.select("group", "fraction"), "group", "left").select(
         "group", "phi",
-        F.when(F.col("_daily"), prorated).otherwise(F.col("fraction")).alias("fraction"),
+        F.when(F.col("_daily"), prorated).otherwise(F.col("fraction")).alias("fraction"), "_all",
     ).where(F.col("fraction").isNotNull())
-    check = one_row(out, F.sum("fraction"))
-    return out.withColumn("target", F.col("fraction") * totals["x0"]).withColumn("fraction_sum", check["x0"])
+    return out.withColumn("target", F.col("fraction") * F.col("_all")).withColumn(
+        "fraction_sum", F.sum("fraction").over(_all_groups())).drop("_all")
 
 
 def daily_flow_classes(res: DataFrame, daily_prefix: str = "streamflow_daily") -> DataFrame:

@@ -184,6 +184,22 @@ def correlated(spark, d):
         (F.abs(F.col("s") - F.col("std")) < 6 * err).alias("std_ok"))
 
 
+@check("N14_correlated_draw_pairs", with_ctes("observations") + """
+SELECT a.obsnme AS "row", b.obsnme AS "col", true AS cov_ok FROM observations a JOIN observations b ON a.obgnme = b.obgnme AND a.obsnme <= b.obsnme""")
+def correlated_pairs(spark, d):
+    """The covariance of the draws against the table they were drawn from, pair by pair; independent draws fail here."""
+    n = 2000
+    obs = observations(spark, d).select(F.col("obsnme").alias("name"), F.col("obgnme").alias("group"), F.col("obsval").alias("mean"))
+    cov = X.covariance(ensemble(spark, d).join(obs.select("name", "group"), "name"), keys=["group"])
+    draws = D.correlated_draw(cov, obs.select("name", "mean"), n, seed=17)
+    got = X.covariance(draws.join(obs.select("name", "group"), "name"), keys=["group"]).select("row", "col", F.col("v").alias("got"))
+    var = X.diagonal(cov)
+    side = lambda c: var.select(F.col("name").alias(c), F.col("v").alias(f"_{c}"))
+    err = F.sqrt((F.col("_row") * F.col("_col") + F.col("v") * F.col("v")) / n)
+    return cov.join(got, ["row", "col"], "left").join(side("row"), "row").join(side("col"), "col").select(
+        "row", "col", F.coalesce(F.abs(F.col("got") - F.col("v")) < 6 * err, F.lit(False)).alias("cov_ok"))
+
+
 @check("N14_ensemble_based_draw", with_ctes("observations") + "SELECT obsnme AS name, 1000 AS n, true AS mean_ok, true AS std_ok FROM observations")
 def from_ensemble(spark, d):
     en = ensemble(spark, d)
