@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,7 +171,8 @@ def find_contamination(
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (),
     with_text: bool = False,
 ) -> DataFrame:
-    """One row per document: ``d_id, d_words, d_hits, d_items``, with ``keep`` as the struct ``d_row``, on request ``d_text``.
+    """One row per document: ``d_id, d_words, d_hits, d_items``, with ``keep`` as the struct ``d_row``, on request ``d_text``,
+    the text without its hit runs.
 
     ``d_words`` counts words, ``d_hits`` are the hit runs as word positions ``[start, stop]``, ``d_items`` the distinct ids of
     items with windows in the text. A document without words, NULL text included, has no hits; items without words have no
@@ -189,12 +189,12 @@ def find_contamination(
     block: list | None = next(blocks, [])
     while block is not None:
         following = next(blocks, None)
-        out = _one_block(out, context.broadcast(ItemAutomaton(block, window)), with_text or following is not None)
+        out = _one_block(out, context.broadcast(ItemAutomaton(block, window)), with_text or following is not None, with_text and following is None)
         block = following
     return out
 
 
-def _one_block(out: DataFrame, automaton, with_text: bool) -> DataFrame:
+def _one_block(out: DataFrame, automaton, with_text: bool, cut: bool) -> DataFrame:
     given = out.columns
     returned = [c for c in given if with_text or c != "d_text"]
 
@@ -218,6 +218,8 @@ def _one_block(out: DataFrame, automaton, with_text: bool) -> DataFrame:
             cols["d_words"] = pa.array(counts, pa.int64())
             cols["d_hits"] = pa.array(hits, pa.list_(pa.list_(pa.int32())))
             cols["d_items"] = pa.array(items, pa.list_(pa.int64()))
+            if cut:
+                cols["d_text"] = pa.array([remove_runs(t, h) if h else t for t, h in zip(texts, hits)], cols["d_text"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in returned], names=returned)
 
     return out.mapInArrow(scan, out.select(*returned).schema)
@@ -245,14 +247,9 @@ def decontaminate(
     rest = tuple(c for c in columns if c != text_col)
     found = find_contamination(docs, items, window, id_col=id_col, text_col=text_col, keep=rest, with_text=True, **how)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(h) else remove_runs(t, h) for t, h in zip(texts, hits)])
-
     covered = F.aggregate("d_hits", F.lit(0), lambda n, run: n + run[1] - run[0])
     touched = F.size("d_hits") > 0
     kept = found.where(~touched | (covered <= F.lit(max_coverage) * F.col("d_words")))
-    kept = kept.withColumn("d_text", F.when(touched, cut("d_text", "d_hits")).otherwise(F.col("d_text")))
     values = {c: F.col("d_row")[c] for c in rest} | {text_col: F.col("d_text")}
     if length_col in rest:
         new_length = F.length("d_text").cast(docs.schema[length_col].dataType)

@@ -164,6 +164,19 @@ def _slice_links(prints: np.ndarray, distance: int, bits: int, slice_id: int) ->
         yield prints[touched[member]], prints[touched[root[member]]]
 
 
+def _lots(batches: Iterator[pa.RecordBatch], least: int = 10_000) -> Iterator[np.ndarray]:
+    """Fingerprints in lots that do not depend on how the batches are cut, so that a slice gets few and full rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        n += batch.num_rows
+        if n >= least:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
     """Links ``a, b`` over the column ``fingerprint`` of distinct rows whose components are those of the distance graph."""
     count = distinct.count()
@@ -175,8 +188,7 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
     reach = np.unique(_syndromes(_ball(distance - distance // 2)[0], columns))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for prints in _lots(batches):
             own = _syndromes(prints, columns)
             order = np.argsort(own, kind="stable")
             prints, (values, first) = prints[order], np.unique(own[order], return_index=True)

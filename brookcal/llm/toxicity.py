@@ -407,19 +407,24 @@ def score_toxicity(
     NULL, empty and blank texts score 0, and so does everything without a model. Equal texts score alike, however often they
     occur. ``predicted`` is 1 from a score of 0.5.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), *([F.struct(*keep).alias("row")] if keep else []))
+    # a text that is kept travels once
+    apart = text_col not in keep
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), *([F.col(text_col).alias("t")] if apart else []), *([F.struct(*keep).alias("row")] if keep else []),
+    )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            scores = []
+            scores, given = [], batch.column("t") if apart else batch.column("row").field(text_col)
             for at in range(0, batch.num_rows, 256):
-                texts = [words_of(t) for t in batch.column(1).slice(at, 256).to_pylist()]
+                texts = [words_of(t) for t in given.slice(at, 256).to_pylist()]
                 scores += [m.score(x) for x in m.best_logits(texts)] if m else [0.0] * len(texts)
             cols = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             names = ["doc_id", "score", "predicted"]
-            yield pa.RecordBatch.from_arrays(cols + list(batch.columns[2:]), names=names + (["row"] if keep else []))
+            row = [batch.column("row")] if keep else []
+            yield pa.RecordBatch.from_arrays(cols + row, names=names + (["row"] if keep else []))
 
     out = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *(["row"] if keep else [])).schema
     return rows.mapInArrow(judge, out)

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 from brookcal.llm import decontamination, mixing, queries, simhash, token_files, toxicity
 from brookcal.session import scratch_path
 
+#: Rows that go to a Python worker together. The stages move whole texts, and a worker and its executor hold a few batches each.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the model learns from the labels of what came in."""
+    _small_batches(spark)
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"), F.coalesce(queries.fold(5) != 0, F.lit(False)))
     scored = toxicity.score_toxicity(docs, model, keep=tuple(docs.columns)).where("predicted = 0")
     return scored.select(*[F.col("row")[c].alias(c) for c in docs.columns])
@@ -19,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints within 4 bits stays: the one with the smallest id."""
+    _small_batches(spark)
     return simhash.keep_first(docs, queries.DISTANCE, queries.SHINGLE)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; a document that consists mostly of them goes."""
+    _small_batches(spark)
     return decontamination.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
@@ -34,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the shared folder; returns their index."""
+    _small_batches(spark)
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(docs, path, queries.tokenizer_path(), queries.END_ID)
     return token_files.read_token_files(spark, path)
