@@ -6,7 +6,7 @@ from checks.registry import ORACLES, QUERIES
 
 MODULES = (
     "series", "regime", "observations", "scoring", "parameters", "ensembles",
-    "pairs", "multipliers", "sources", "spatial", "plans",
+    "pairs", "closed_forms", "multipliers", "sources", "spatial", "plans",
 )
 
 
