@@ -5,6 +5,7 @@ its documents one after the other, as unsigned 16-bit integers where the vocabul
 ``p.off`` holds one 64-bit offset per document and a last one, counted in ids from the start of the part; ``p.doc`` holds the
 64-bit document ids, then one byte per document that is 0 where the id is NULL. Parts follow each other in ascending document
 id, NULL first; where a part begins in the whole data set is the prefix sum of the ids before it, kept in ``manifest.json``.
+Where documents come with a position, as in a training order, ``p.pos`` holds one 64-bit position per document.
 
 Each part is written under a name of its own attempt and moved into place when whole, so a repeated task replaces it with
 the same bytes. Files are reached through Arrow's file systems; a local or mounted part is memory-mapped.
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "part int, docs long, tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+READ_ORDER = f"position long, {READ}"
 
 
 class PieceEncoder:
@@ -128,64 +130,75 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list]]:
-    """Ids and texts in lots of about ``most`` characters."""
-    ids, texts, size = [], [], 0
+def _bounded(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list, list]]:
+    """Ids, texts and what else comes with them, in lots of about ``most`` characters."""
+    ids, texts, rest, size = [], [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        others = [c.to_pylist() for c in batch.columns[2:]]
+        for i, t, *own in zip(batch.column(0).to_pylist(), batch.column(1), *others):
             t = t.as_py() or ""
             ids.append(i)
             texts.append(t)
+            rest += own
             size += len(t)
             if size > most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, texts, rest
+                ids, texts, rest, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, texts, rest
 
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", position: Column | None = None,
 ) -> list[dict]:
     """Writes ``docs`` to the folder ``path``, which every executor must reach, and returns the manifest.
 
     Each document ends with ``end_id``; NULL and empty texts consist of it alone. Documents with one id, NULL included, stand
     in the order of a hash of their text; equal rows are all written. An empty table gives a manifest without parts.
-    ``tokenizer`` names a tokenizers file that every executor has.
+    ``tokenizer`` names a tokenizers file that every executor has. ``position``, a column without NULL, is kept with each
+    document; documents of one id and text stand in its order.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     _, root = _store(path)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    own = [] if position is None else ["position"]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"),
+        *[position.cast("long").alias(c) for c in own],
+    )
+    rows = rows.repartitionByRange(parts, "doc_id", "tie", *own).sortWithinPartitions("doc_id", "tie", *own).select("doc_id", "text", *own)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(path)
         part = TaskContext.get().partitionId()
         attempt = f"{root}/_attempts/{part:06d}-{uuid.uuid4().hex}"
-        encoder, ends, doc_ids, out = None, [0], [], None
-        for ids, texts in _bounded(batches):
+        encoder, ends, doc_ids, positions, out = None, [0], [], [], None
+        for ids, texts, at in _bounded(batches):
             if out is None:
                 encoder = encoder_of(tokenizer, end_id)
                 end = np.array([end_id], dtype=encoder.dtype).tobytes()
                 store.create_dir(f"{root}/_attempts", recursive=True)
                 out = store.open_output_stream(attempt + ".ids")
-            for own in encoder.encode(texts):
-                out.write(own)
+            for encoded in encoder.encode(texts):
+                out.write(encoded)
                 out.write(end)
-                ends.append(ends[-1] + len(own) // encoder.dtype.itemsize + 1)
+                ends.append(ends[-1] + len(encoded) // encoder.dtype.itemsize + 1)
             doc_ids += ids
+            positions += at
         if out is None:
             return
         out.close()
         known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
-        for suffix, content in (
-            (".off", np.array(ends, dtype="<u8").tobytes()),
-            (".doc", np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + known.tobytes()),
-        ):
+        contents = {
+            ".off": np.array(ends, dtype="<u8").tobytes(),
+            ".doc": np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + known.tobytes(),
+        }
+        if own:
+            contents[".pos"] = np.array(positions, dtype="<i8").tobytes()
+        for suffix, content in contents.items():
             with store.open_output_stream(attempt + suffix) as f:
                 f.write(content)
-        for suffix in (".ids", ".off", ".doc"):
+        for suffix in (".ids", *contents):
             store.move(attempt + suffix, f"{root}/{part:06d}{suffix}")
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([part], pa.int32()), "docs": pa.array([len(doc_ids)], pa.int64()), "tokens": pa.array([ends[-1]], pa.int64()),
@@ -195,7 +208,7 @@ def write_token_files(
     found = sorted((r.asDict() for r in rows.mapInArrow(write, MANIFEST).collect()), key=lambda r: r["part"])
     base = 0
     for r in found:
-        r |= {"base": base, "dtype": dtype.str}
+        r |= {"base": base, "dtype": dtype.str, "placed": bool(own)}
         base += r["tokens"]
     store, _ = _store(path)
     store.create_dir(root, recursive=True)
@@ -223,6 +236,7 @@ class TokenPart:
         self.doc_ids = flat(".doc", "<i8", n)
         self.known = flat(".doc", "u1", n, 8 * n)
         self.ids = flat(".ids", entry["dtype"], entry["tokens"])
+        self.positions = flat(".pos", "<i8", n) if entry.get("placed") else None
 
     def __len__(self) -> int:
         return len(self.doc_ids)
@@ -231,16 +245,15 @@ class TokenPart:
         return self.ids[int(self.offsets[i]): int(self.offsets[i + 1])]
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the folder, ``start`` counted over the whole data set.
-
-    ``ids_crc32`` is the checksum of the document's ids as little-endian 32-bit integers.
-    """
+def _read(spark: SparkSession, path: str, placed: bool) -> DataFrame:
     store, root = _store(path)
     with store.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
+    schema = READ_ORDER if placed else READ
     if not manifest:
-        return spark.createDataFrame([], READ)
+        return spark.createDataFrame([], schema)
+    if placed and not all(entry.get("placed") for entry in manifest):
+        raise ValueError(f"the documents in {path} were written without positions")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,11 +262,26 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(part), 10_000):
                     some = range(at, min(at + 10_000, len(part)))
                     offsets = part.offsets[at: some.stop + 1].astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({
+                    cols = {"position": pa.array(part.positions[at: some.stop], pa.int64())} if placed else {}
+                    yield pa.RecordBatch.from_pydict(cols | {
                         "doc_id": pa.array(part.doc_ids[at: some.stop], pa.int64(), mask=part.known[at: some.stop] == 0),
                         "start": pa.array(offsets[:-1] + part.base, pa.int64()),
                         "n_tokens": pa.array(np.diff(offsets), pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(part[i].astype("<u4").tobytes()) for i in some], pa.int64()),
                     })
 
-    return spark.range(0, len(manifest), 1, len(manifest)).mapInArrow(read, READ)
+    return spark.range(0, len(manifest), 1, len(manifest)).mapInArrow(read, schema)
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the folder, ``start`` counted over the whole data set.
+
+    ``ids_crc32`` is the checksum of the document's ids as little-endian 32-bit integers.
+    """
+    return _read(spark, path, False)
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``position`` and the columns of ``read_token_files``, range-sorted by position; needs files written with positions."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _read(spark, path, True).repartitionByRange(parts, "position").sortWithinPartitions("position")

@@ -3,6 +3,8 @@ mixed to their weights, token ids written. Every stage reads what the one before
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def with_rank(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, rank`` of what was read from files that Spark wrote; ``rank`` counts rows in the order of files."""
+    # part numbers have five digits or more
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    docs = docs.select("doc_id", "text", F.struct(F.length(name).alias("n"), name.alias("name")).alias("rank_file"), row.alias("rank_row"))
+    files = docs.groupBy("rank_file").agg(F.count("*").alias("n")).orderBy("rank_file").collect()
+    base = dict(zip([r["rank_file"]["name"] for r in files], accumulate([0] + [r["n"] for r in files])))
+    bases = docs.sparkSession.createDataFrame(list(base.items()), "rank_name string, rank_base long")
+    placed = docs.join(F.broadcast(bases), F.col("rank_file.name") == F.col("rank_name"), "left")
+    return placed.select("doc_id", "text", (F.col("rank_base") + F.col("rank_row")).alias("rank"))
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the shared folder; returns their index."""
+    """Token files in the shared folder, each document with its place in the curriculum; returns their index."""
     _small_batches(spark)
     path = scratch_path(spark, "tokens")
-    token_files.write_token_files(docs, path, queries.tokenizer_path(), queries.END_ID)
+    token_files.write_token_files(with_rank(docs), path, queries.tokenizer_path(), queries.END_ID, position=F.col("rank"))
     return token_files.read_token_files(spark, path)
 
 

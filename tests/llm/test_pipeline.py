@@ -1,7 +1,9 @@
 """The pipeline at the smallest scale, stage by stage."""
 
+from collections import defaultdict
+
 import corpus_pipeline
-from brookcal.llm import queries
+from brookcal.llm import mixing, queries, token_files
 from tests.llm.test_matching import brute_components, brute_contamination, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +40,22 @@ def test_stages(spark, documents, tmp_path):
 
 def test_run_returns_the_index(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_token_files_keep_the_training_order(spark, documents, tmp_path, monkeypatch):
+    """Read in order, the files give the documents as the curriculum places them."""
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    corpus_pipeline.mix_sources(spark, documents, SF).write.parquet(f"{tmp_path}/mixed")
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(docs.inputFiles()) > 1
+    index = sorted(corpus_pipeline.write_tokens(spark, docs, SF).collect(), key=lambda r: r["start"])
+    times = defaultdict(list)
+    for r in mixing.plan_mix(documents).collect():
+        times[r["doc_id"]] += r["positions"]
+    left = {d: iter(sorted(x)) for d, x in times.items()}
+    rows = token_files.read_in_order(spark, f"{tmp_path}/tokens").collect()
+    assert [r["position"] for r in rows] == list(range(sum(map(len, times.values()))))
+    reached = [next(left[r["doc_id"]]) for r in rows]
+    assert reached == sorted(reached)
+    assert sorted(tuple(r)[1:] for r in rows) == sorted(map(tuple, index))
+    assert [r["doc_id"] for r in rows] != [r["doc_id"] for r in index]
