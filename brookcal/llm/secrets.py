@@ -1,18 +1,21 @@
 """Secret scan: fixed formats, and formats learned by grammar inference.
 
-One pass over the texts finds the spans of the fixed formats and all candidates: long unbroken runs of credential characters
-that mix letters and digits. The fixed-format values are the labelled credentials. Per kind, a prefix tree of their character
-classes is built and statistically compatible states are merged (Hoeffding bound), which gives a probabilistic automaton. Every
-candidate gets its likelihood per character under the best automaton, against the character frequencies of all candidates;
-those that look like labelled credentials do, become spans of the kind ``format``.
+One pass over the texts finds the spans of the fixed formats and all candidates: runs of 12 or more credential characters.
+The fixed-format values are the labelled credentials. Per kind, a prefix tree of their character classes is built and
+statistically compatible states are merged (Hoeffding bound), which gives a probabilistic automaton. Every candidate gets
+its likelihood per character under the best automaton, against the character frequencies of all candidates; those that
+look like labelled credentials do, become spans of the kind ``format``. A candidate is scored whole; where it is none, the parts
+between its dots are scored, so that a full stop or a name before a credential does not hide it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
+PART = re.compile(r"[^.]{%d,}" % ASSIGN_LEAST)
 #: Credentials of each kind that an automaton learns from, chosen by hash.
 PER_KIND = 400
 MIN_CREDENTIALS = 20
@@ -45,20 +49,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+class Covered:
+    """Tells what lies inside one of some spans, given by ascending start and by stop."""
+
+    def __init__(self, starts: Iterable[int], stops: Iterable[int]):
+        self.starts, self.reach = list(starts), list(accumulate(stops, max))
+
+    def inside(self, start: int, stop: int) -> bool:
+        before = bisect_right(self.starts, start)
+        return before > 0 and stop <= self.reach[before - 1]
+
+
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """Runs that hold a letter and a digit and overlap no fixed-format span."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            if all(m.end() <= a or m.start() >= b for a, _, b, _ in taken):
-                out.append((m.start(), run))
-    return out
+    """Runs of credential characters, but for those that lie inside a fixed-format span and are found with it."""
+    covered = Covered((s[0] for s in taken), (s[2] for s in taken))
+    return [(m.start(), m[0]) for m in CANDIDATE.finditer(text) if not covered.inside(m.start(), m.end())]
+
+
+_CLASSES = str.maketrans(
+    {chr(c): "0" if chr(c).isdigit() else "a" if chr(c) in "abcdef" else "g" if chr(c).islower() else "A" for c in range(128) if chr(c).isalnum()}
+)
 
 
 def symbols(word: str) -> str:
     """Character classes: digits, hexadecimal and other lower-case letters, upper case; signs stand for themselves."""
-    return "".join("0" if c.isdigit() else "a" if c in "abcdef" else "g" if c.islower() else "A" if c.isupper() else c for c in word)
+    return word.translate(_CLASSES)
 
 
 @dataclass
@@ -168,6 +183,18 @@ class Formats:
         plain = sum(self.background.get(c, self.unseen) for c in own) / len(own)
         return max(a.log_likelihood(word) for a in self.automata) - plain
 
+    def spans(self, start: int, run: str, covered: Covered) -> list[tuple[int, int]]:
+        """The run if it reaches the threshold, else those of its parts between dots that do.
+
+        Credentials of one fixed form all have one score, which is then the threshold.
+        """
+        if self.score(run) >= self.threshold:
+            return [(start, start + len(run))]
+        if "." not in run:
+            return []
+        parts = [(start + m.start(), start + m.end(), m[0]) for m in PART.finditer(run)]
+        return [(a, b) for a, b, part in parts if not covered.inside(a, b) and self.score(part) >= self.threshold]
+
 
 SCAN = "base array<struct<start:int,kind:int,stop:int,word:string>>, cand array<struct<start:int,word:string>>"
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("word", pa.string())]))
@@ -221,9 +248,9 @@ def learn_formats(found: DataFrame, per_kind: int = PER_KIND) -> Formats:
 def find_secrets(docs: DataFrame, per_kind: int = PER_KIND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, spans`` for every row: an array of ``start, kind, stop`` with kinds 0 to 2 as in ``KINDS`` and 3, ``format``.
 
-    Offsets are code points, ends exclusive. Fixed-format spans always stay; learned ones overlap none of them. NULL and empty
-    texts have no spans, repeated rows come back as often as they occur. With fewer than ``MIN_CREDENTIALS`` credentials of a
-    kind, its format is not learned; an empty table gives no rows.
+    Offsets are code points, ends exclusive. Fixed-format spans always stay; learned ones lie inside none of them, but may hold
+    or cross one. NULL and empty texts have no spans, repeated rows come back as often as they occur. With fewer than
+    ``MIN_CREDENTIALS`` credentials of a kind, its format is not learned; an empty table gives no rows.
     """
     found = cut_lineage(scan(docs, id_col, text_col))
     formats = docs.sparkSession.sparkContext.broadcast(learn_formats(found, per_kind))
@@ -234,10 +261,8 @@ def find_secrets(docs: DataFrame, per_kind: int = PER_KIND, id_col: str = "doc_i
             out = []
             for base, cand in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = [(b["start"], b["kind"], b["stop"]) for b in base]
-                own += [
-                    (c["start"], len(KINDS), c["start"] + len(c["word"])) for c in cand
-                    if formats.value.score(c["word"]) > formats.value.threshold
-                ]
+                covered = Covered((s[0] for s in own), (s[2] for s in own))
+                own += [(a, len(KINDS), b) for c in cand for a, b in formats.value.spans(c["start"], c["word"], covered)]
                 out.append([dict(zip(("start", "kind", "stop"), s)) for s in sorted(own)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, spans)], names=["doc_id", "spans"])
 

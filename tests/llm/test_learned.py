@@ -80,6 +80,30 @@ def test_learned_formats_find_unlabelled_credentials(spark):
     assert len(found) >= 32
 
 
+def test_every_run_is_a_candidate():
+    text = "abcdefghijkl, 123456789012 aa.bb.ccddee.ff q0123456789abcdefQ 0123456789abcdef token = abcdefghijklmn"
+    found = secrets.candidates(text, secrets.base_spans(text))
+    assert [w for _, w in found] == ["abcdefghijkl", "123456789012", "aa.bb.ccddee.ff", "q0123456789abcdefQ"]
+    assert all(text[a: a + len(w)] == w for a, w in found)
+
+
+@pytest.mark.parametrize("form", ["A" * 14, "9" * 14, "sA9A9A.sA9A.9A9A9A", "A99hhhhhhhhhhhhhhhhhhA99"])
+def test_unlabelled_credentials_of_any_form(spark, form):
+    """Short ones, letters or digits only, dotted ones and those around a fixed format."""
+    rng = random.Random(3)
+    some = {"A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "9": "0123456789", "h": "0123456789abcdef"}
+    value = lambda: "".join(rng.choice(some.get(c, c)) for c in form)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(12, 18)))
+    rows = [(i, f"see token={value()} here") for i in range(200)] + [(1000 + i, f"and {word()} or {word()}. Too") for i in range(200)]
+    rows += [(2000 + i, f"then {value()} alone") for i in range(40)] + [(3000 + i, f"then {value()}.") for i in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[1000 + i] for i in range(200))
+    learned = {i: [(s["start"], s["stop"]) for s in x if s["kind"] == 3] for i, x in got.items()}
+    assert sum(learned[2000 + i] == [(5, 5 + len(form))] for i in range(40)) >= 32
+    if "." not in form:
+        assert sum(any(a == 5 and b >= 5 + len(form) for a, b in learned[3000 + i]) for i in range(40)) >= 32
+
+
 def test_automaton_merges_states():
     rng = random.Random(5)
     words = ["AK" + "".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(200)]
