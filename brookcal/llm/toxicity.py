@@ -2,7 +2,8 @@
 
 A word comes in as a learned vector (frequent training words), the mean of learned vectors of its character trigrams, and how
 much more often it stands in toxic training texts. Texts are read in overlapping windows of 64 words; a window's states are
-pooled by attention into a logit, and the largest logit of all windows, calibrated, is the score of the text. Labels belong to
+pooled by attention into a logit, and the largest logit of all windows, calibrated, is the score of the text. Words of scripts
+without spaces, and other words above 48 letters, come in as their overlapping pieces of three, each a word. Labels belong to
 whole texts, so training picks the windows: first those with the most telling words, later those the network scores highest.
 
 The fit uses at most ``per_class`` labelled texts of each class, chosen by hash; the ids are broadcast, the texts found where
@@ -11,6 +12,7 @@ they lie. Everything is scored whole.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -34,12 +36,27 @@ REMEMBERED = 150_000
 BATCH = 512
 #: Shrinking of word and trigram vectors per unit of learning rate.
 DECAY = 1.0
+#: Longer words are cut, and so are those of more than one piece in scripts that put no space between words.
+LONGEST, PIECE = 48, 3
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _EDGE = ".,;:!?\"'()[]{}<>*-_"
 
 
+def _pieces(words: list[str]) -> Iterator[str]:
+    """The words, with the cut ones as overlapping pieces that begin at each letter."""
+    known: dict[str, str] = {}  # one object for equal pieces
+    for w in words:
+        if len(w) > LONGEST or len(w) > PIECE and _UNSPACED.search(w):
+            for a in range(len(w) - PIECE + 1):
+                piece = w[a: a + PIECE]
+                yield known.setdefault(piece, piece)
+        else:
+            yield w
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words; a word repeated in place counts once, so that a run of it weighs no more than the word."""
-    return [w for w, _ in groupby(text.lower().split())] if text else []
+    return [w for w, _ in groupby(_pieces(text.lower().split()))] if text else []
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:

@@ -162,6 +162,33 @@ def test_toxicity_finds_held_out_texts(monkeypatch):
     assert model.best_logits(texts) == pytest.approx(alone, abs=1e-4)
 
 
+@pytest.mark.parametrize("letters", [[chr(c) for c in range(0x4E00, 0x4E80)], list("abcdefghijklmnopqrstuvwxyz")])
+def test_toxic_passage_in_a_long_unspaced_text(letters):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) for _ in range(33)]
+    common, rude = words[:30], words[30:]
+
+    def text(toxic, size):
+        some = [rng.choice(common) for _ in range(size)]
+        if toxic:
+            at = rng.randint(0, size)
+            some[at:at] = rude
+        return "".join(some)
+
+    labels = [int(i % 2 == 0) for i in range(200)]
+    model = toxicity.fit([text(y, rng.randint(15, 100)) for y in labels], labels, steps=60, passes=4)
+    held = [i % 2 for i in range(40)]
+    scores = [model.score(x) for x in model.best_logits([toxicity.words_of(text(y, 1000)) for y in held])]
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in zip(scores, held)]) > 0.9
+
+
+def test_long_words_are_cut():
+    assert toxicity.words_of("One " + "x" * 48 + " two") == ["one", "x" * 48, "two"]
+    assert toxicity.words_of("a" + "bc" * 24 + " d") == ["abc", *["bcb", "cbc"] * 23, "d"]
+    assert toxicity.words_of("\u4f60\u597d\u5417\u54e6 ok") == ["\u4f60\u597d\u5417", "\u597d\u5417\u54e6", "ok"]
+    assert toxicity.words_of("x" * 50_000) == ["xxx"]
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 63, 64, 65, 111, 112, 113, 1000):
         spans = toxicity.windows_of(n)
