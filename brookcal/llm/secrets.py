@@ -37,7 +37,6 @@ PART = re.compile(r"[^.]{%d,}" % ASSIGN_LEAST)
 #: Credentials of each kind that an automaton learns from, chosen by hash.
 PER_KIND = 400
 MIN_CREDENTIALS = 20
-MAX_LENGTH = 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -90,7 +89,7 @@ class Automaton:
         tree = cls([{}], [{}], [0])
         for word in words:
             at = 0
-            for c in symbols(word[:MAX_LENGTH]):
+            for c in symbols(word):
                 tree.through[at][c] = tree.through[at].get(c, 0) + 1
                 if c not in tree.edges[at]:
                     tree.edges[at][c] = len(tree.edges)
@@ -226,7 +225,7 @@ def learn_formats(found: DataFrame, per_kind: int = PER_KIND) -> Formats:
     words = found.select(F.explode("base").alias("b")).select("b.kind", "b.word")
     rows = []
     for kind in range(len(KINDS)):
-        some = words.where(F.col("kind") == kind).select(F.substring("word", 1, MAX_LENGTH).alias("word")).distinct()
+        some = words.where(F.col("kind") == kind).select("word").distinct()
         rows.append([r["word"] for r in some.orderBy(F.xxhash64("word"), "word").limit(per_kind).collect()])
     automata = [Automaton.infer(some[::2]) for some in rows if len(some) >= MIN_CREDENTIALS]
     held = [some[1::2] for some in rows if len(some) >= MIN_CREDENTIALS]

@@ -104,6 +104,20 @@ def test_unlabelled_credentials_of_any_form(spark, form):
         assert sum(any(a == 5 and b >= 5 + len(form) for a, b in learned[3000 + i]) for i in range(40)) >= 32
 
 
+def test_long_credentials_are_learned_whole(spark):
+    """Credentials with 64 characters in common are as many as they are, and each ends where it ends."""
+    rng = random.Random(4)
+    head = "ey" + "Q" * 62
+    value = lambda: head + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    rows = [(i, f"see token={value()} here") for i in range(60)] + [(2000 + i, f"then {value()} alone") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    found = [i for i in range(40) if [(s["kind"], s["start"], s["stop"]) for s in got[2000 + i]] == [(3, 5, 5 + 88)]]
+    assert len(found) >= 28
+    automaton = secrets.Automaton.infer([value() for _ in range(30)])
+    assert sum(sum(t.values()) for t in automaton.through) == 30 * 88
+
+
 def test_automaton_merges_states():
     rng = random.Random(5)
     words = ["AK" + "".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(200)]
