@@ -33,6 +33,40 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ORDER = f"position long, {READ}"
 
 
+#: Signs that end a word; the pattern of a byte-level tokenizer keeps them apart from its letters.
+CLOSING = ".,;:!?"
+
+
+class PieceMemory(dict):
+    """Ids of pieces. One that is asked for and not known is noted in ``missing`` and answered with None.
+
+    When ``most`` are held, all become the former generation; a piece asked for again comes back from it, the others go with
+    the next change. So frequent pieces stay and rare ones leave. Memory, not results, depends on ``most``.
+    """
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most, self.former, self.missing = most, {}, []
+
+    def peek(self, piece: str) -> bytes | None:
+        return self.get(piece) or self.former.get(piece)
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.former.get(piece)
+        if ids is None:
+            self.missing.append(piece)
+        else:
+            self[piece] = ids
+        return ids
+
+    def add(self, learned: dict[str, bytes]) -> None:
+        self.missing.clear()
+        if len(self) + len(learned) > self.most:
+            self.former = dict(self)
+            self.clear()
+        self.update(learned)
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file; what lies between single spaces is encoded once and remembered.
 
@@ -41,7 +75,6 @@ class PieceEncoder:
     texts in which white space meets white space, go to the library as they are.
     """
 
-    MOST = 800_000  # pieces remembered by one worker; memory, not results, depends on it
 
     def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
@@ -57,7 +90,7 @@ class PieceEncoder:
         )
         special = [t["content"] for t in about.get("added_tokens", [])]
         self.marks = ["  ", " \n", "\n ", "\n\n", "\x00", *special]
-        self.known: dict[str, bytes] = {}
+        self.known, self.signs = PieceMemory(), {}
         if self.by_piece:
             # a byte-level token is spelled with one character per byte
             self.widths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
@@ -74,11 +107,17 @@ class PieceEncoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces in one text, each after its space or line break, and cuts the ids where pieces end."""
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encodes pieces in one text, each after its space or line break, and cuts the ids where pieces end.
+
+        A sign that closes a word is a token of its own, so such pieces are put together from word and sign.
+        """
+        closed = {p for p in pieces if p[-1] in CLOSING and p[p[0] == "\x00":-1].isalpha()}
+        words = {p[:-1] for p in closed}
+        known = {p: ids for p in words if (ids := self.known.peek(p))}
         if "\n" in pieces:
-            self.known["\n"] = self._direct(["\n"])[0]
-            pieces.remove("\n")
+            known["\n"] = self._direct(["\n"])[0]
+        pieces = list(words.union(pieces).difference(closed, known))
         lots = [pieces[at: at + 500] for at in range(0, len(pieces), 500)]
         spelled = [["\n" + p[1:] if p[0] == "\x00" else " " + p for p in lot] for lot in lots]
         encoded = self.tokenizer.encode_batch_fast(list(map("".join, spelled)), add_special_tokens=False)
@@ -86,33 +125,46 @@ class PieceEncoder:
         for lot, words, found in zip(lots, spelled, encoded):
             ids = np.array(found.ids, dtype=np.int64)
             ends = np.cumsum(self.widths[ids])
-            wanted = np.cumsum([len(x.encode("utf-8")) for x in words])
+            wanted = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8")) for x in words])
             cuts = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], wanted):
                 raise ValueError("the tokenizer joins what its pattern should keep apart")
             flat, at = ids.astype(self.dtype).tobytes(), 0
             for p, cut in zip(lot, (cuts + 1).tolist()):
-                self.known[p] = flat[(at + (p[0] == "\x00")) * size: cut * size]
+                known[p] = flat[(at + (p[0] == "\x00")) * size: cut * size]
                 at = cut
+        if closed and not self.signs:
+            self.signs = dict(zip(CLOSING, self._direct(list(CLOSING))))
+        for p in closed:
+            known[p] = known[p[:-1]] + self.signs[p[-1]]
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, pieces = [], []
+        plain, found = [], []
+        get, missing = self.known.__getitem__, self.known.missing
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self.by_piece or not self._divisible(text):
                 out[i] = self._direct([text])[0]
                 continue
-            plain.append(i)
-            pieces.append(("\x00" + text.replace("\n", " \n \x00")).split(" "))
-        if pieces:
-            if len(self.known) > self.MOST:
-                self.known.clear()
-            self._learn(list(set().union(*pieces) - self.known.keys()))
-        get = self.known.__getitem__
-        for i, own in zip(plain, pieces):
-            out[i] = b"".join(map(get, own))
+            before = len(missing)
+            ids = list(map(get, ("\x00" + text.replace("\n", " \n \x00")).split(" ")))
+            if len(missing) > before:
+                plain.append(i)
+                found.append((ids, before))
+            else:
+                out[i] = b"".join(ids)
+        if missing:
+            learned = self._learn(list(set(missing)))
+            for i, (ids, own) in zip(plain, found):
+                at, holes = -1, ids.count(None)
+                for p in missing[own: own + holes]:
+                    at = ids.index(None, at + 1)
+                    ids[at] = learned[p]
+                out[i] = b"".join(ids)
+            self.known.add(learned)
         return out
 
 

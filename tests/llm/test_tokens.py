@@ -54,3 +54,15 @@ def test_no_documents(spark, none):
     path = scratch_path(spark, "tokens")
     assert token_files.write_token_files(none, path, queries.tokenizer_path()) == []
     assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_pieces_are_forgotten_and_learned_again(library):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "!?", "'s", "\n"]) for _ in range(40)).rstrip("\n") for _ in range(400)]
+    texts = [t.replace("\n ", "\n") for t in texts]
+    encoder = token_files.PieceEncoder(queries.tokenizer_path())
+    encoder.known.most = 50
+    got = [x for at in range(0, 400, 7) for x in encoder.encode(texts[at: at + 7])]
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.known.former
