@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookcal.llm import (
-    decontamination, kdtree, language, mixing, repeats, secrets, sharding, simhash, token_files, toxicity,
+    decontamination, kdtree, language, mixing, packing, repeats, secrets, sharding, simhash, token_files, toxicity,
 )
 from brookcal.session import scratch_path
 
 SHARDS = 40
 SHINGLE, DISTANCE = 4, 4
 END_ID = 0
+LONGEST = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +117,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "packed")
+    packing.write_packed(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID, LONGEST)
+    return packing.read_pieces(spark, path)
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -156,7 +163,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_simhash, op3_mixing, op4_top_k, op5_language, op6_secrets, op7_toxicity, op8_repeats,
-        op9_token_files, op10_decontamination,
+        op9_token_files, op10_decontamination, op12_packing,
     )
 }
 ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_decontamination": OP10_SQL}
