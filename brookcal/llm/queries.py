@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookcal.llm import (
-    decontamination, kdtree, language, mixing, packing, repeats, secrets, sharding, simhash, token_files, toxicity,
+    decontamination, kdtree, language, mixing, packing, repeats, secrets, sharding, simhash, token_files, toxicity, trie,
 )
 from brookcal.session import scratch_path
 
@@ -117,6 +117,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with up to eight turns of the first of its five, as many as its id's checksum says."""
+    paths = trie.turn_paths(table(spark, sf_dir, "conversations"))
+    own, head = F.col("conv_id") % 5, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    heads = paths.where(own == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    joined = paths.withColumn("base", F.col("conv_id") - own).withColumn("h", head.cast("int")).join(heads, "base", "left")
+    after = F.slice("turns", F.col("h") + 1, F.size("turns"))
+    before = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return trie.prefix_trie(joined.select("conv_id", F.concat(before, after).alias("turns")))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "packed")
     packing.write_packed(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID, LONGEST)
@@ -160,10 +171,34 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+# the inner reduction is eight steps of the checksum's shift register, the outer one runs over the digits
+OP11_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, substr(sha256(octet_length(encode(r)) || ':' || r || x), 1, 32)) AS p,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+        lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, coalesce(b.p[1:c.h], []) || c.p[c.h + 1:] AS p FROM o c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 5),
+n AS (SELECT p[1:d] AS k, d, conv_id, len(p) = d AS ends FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM r)),
+g AS (SELECT k, max(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (ends) AS n_ends,
+    string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS e FROM n GROUP BY k),
+c AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (k)),
+s AS (
+  SELECT k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(k[depth].x)) END) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(f.e, '')) AS ends_sha256
+FROM f JOIN s USING (k) LEFT JOIN g u ON f.depth > 0 AND u.k = f.k[1:f.depth - 1]
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_simhash, op3_mixing, op4_top_k, op5_language, op6_secrets, op7_toxicity, op8_repeats,
-        op9_token_files, op10_decontamination, op12_packing,
+        op9_token_files, op10_decontamination, op11_prefix_trie, op12_packing,
     )
 }
-ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_decontamination": OP10_SQL, "op11_prefix_trie": OP11_SQL}
