@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookcal.llm import (
-    decontamination, kdtree, language, mixing, packing, repeats, secrets, sharding, simhash, token_files, toxicity, trie,
+    collocations, decontamination, kdtree, language, mixing, packing, repeats, secrets, sharding, simhash, token_files, toxicity, trie,
 )
 from brookcal.session import scratch_path
 
@@ -134,6 +134,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_pieces(spark, path)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -195,10 +199,35 @@ SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children,
 FROM f JOIN s USING (k) LEFT JOIN g u ON f.depth > 0 AND u.k = f.k[1:f.depth - 1]
 """
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) AS s(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, f AS a FROM f WHERE m > 1 AND f >= 100),
+covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM cand s JOIN cand b
+  ON s.lang = b.lang AND s.m < b.m AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= 100 * s.a),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand ANTI JOIN covered USING (lang, phrase))),
+s AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_simhash, op3_mixing, op4_top_k, op5_language, op6_secrets, op7_toxicity, op8_repeats,
-        op9_token_files, op10_decontamination, op11_prefix_trie, op12_packing,
+        op9_token_files, op10_decontamination, op11_prefix_trie, op12_packing, op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_decontamination": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_decontamination": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_collocations": OP13_SQL}
