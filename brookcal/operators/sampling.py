@@ -173,12 +173,3 @@ def autocorrelated_covariance(obs: DataFrame, sill: float, reach: float, window:
     h = F.abs(F.col("_t1") - F.col("_t2"))
     return left.join(right, ["group", "_b"]).where((F.col("row") <= F.col("col")) & (h <= window)).select(
         "group", "row", "col", (F.col("_s1") * F.col("_s2") * sill * F.exp(-h / reach)).alias("v"))
-
-
-def inequality_reset(draws: DataFrame, obs: DataFrame) -> DataFrame:
-    """One-sided observations carry no noise: their draws go back to the observed value."""
-    from brookcal.functions.inequality import is_greater_than, is_less_than
-
-    o = obs.select(F.col("obsnme").alias("name"), "obsval", "obgnme")
-    bound = is_less_than(F.col("obgnme")) | is_greater_than(F.col("obgnme"))
-    return draws.join(o, "name").select("real", "name", F.when(bound, F.col("obsval")).otherwise(F.col("value")).alias("value"))

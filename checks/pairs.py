@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brookcal.functions.variograms import Structure, Variogram
 from brookcal.operators import data_worth as W
 from brookcal.operators import pairs as X
 from brookcal.operators import sampling as D
+from brookcal.operators.noise import noise_draw
 from checks.registry import check, q_rnd, q_sig, rnd, sig
 from checks.views import _cte, ensemble, observations, read, with_ctes
 
@@ -200,6 +203,61 @@ def correlated_pairs(spark, d):
         "row", "col", F.coalesce(F.abs(F.col("got") - F.col("v")) < 6 * err, F.lit(False)).alias("cov_ok"))
 
 
+NOISE = Structure((Variogram("exponential", 0.7, 400.0), Variogram("exponential", 0.2, 30.0)), 0.1)
+_NOISE_OBS = """WITH o AS (SELECT c_name AS obsnme, CASE c_mktsegment WHEN 'BUILDING' THEN 'less_' ELSE '' END || c_mktsegment AS obgnme, c_acctbal AS obsval,
+  c_nationkey % 5 <> 4 AS weighed, c_mktsegment AS series, floor(c_acctbal / 7) AS t FROM customer)"""
+
+
+def _noise_obs(spark, d):
+    """Customers as observations: balance, a market segment is a series, time rises with the balance; some have no weight."""
+    c = read(spark, d, "customer")
+    group = F.concat(F.when(F.col("c_mktsegment") == "BUILDING", F.lit("less_")).otherwise(F.lit("")), F.col("c_mktsegment"))
+    weight = F.when(F.col("c_nationkey") % 5 == 4, F.lit(0.0)).otherwise(F.lit(1.0) / (1 + F.col("c_nationkey") % 3))
+    return c.select(
+        F.col("c_name").alias("obsnme"), group.alias("obgnme"), F.col("c_acctbal").cast("double").alias("obsval"), weight.alias("weight"),
+        F.lit(0.0).alias("lower_bound"), F.col("c_mktsegment").alias("series"), F.floor(F.col("c_acctbal") / 7).cast("double").alias("t"))
+
+
+@check("N14_noise_draw", _NOISE_OBS + """
+SELECT obsnme AS name, 400 AS n, NOT weighed OR series = 'BUILDING' AS kept, true AS mean_ok, true AS std_ok FROM o""")
+def noise_moments(spark, d):
+    """Each observation's draws have its value as mean and its deviation; those without weight and one-sided ones keep the value."""
+    n, obs = 400, _noise_obs(spark, d)
+    series = obs.where("weight != 0").select("obsnme", "series", "t")
+    draws = noise_draw(obs, series, NOISE, n, seed=41)
+    m = draws.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("a"), F.stddev_samp("value").alias("s"), F.max(F.abs("value")).alias("far"))
+    j = m.join(obs, F.col("name") == F.col("obsnme"))
+    kept, std = (F.col("s") == 0) & (F.abs(F.col("a") - F.col("obsval")) < 1e-6), F.try_divide(F.lit(1.0), F.col("weight"))
+    fixed = (F.col("weight") == 0) | F.col("obgnme").startswith("less_")
+    ok = lambda c, want, err: fixed | F.coalesce(F.abs(F.col(c) - want) < 6 * err, F.lit(False))
+    return j.select(
+        "name", F.col("n").cast("int").alias("n"), kept.alias("kept"), ok("a", F.col("obsval"), std / n**0.5).alias("mean_ok"),
+        ok("s", std, std / (2 * n) ** 0.5).alias("std_ok"))
+
+
+@check("N14_noise_draw_pairs", _NOISE_OBS + """
+SELECT obsnme AS "row", lead(obsnme, k) OVER (PARTITION BY series ORDER BY t, obsnme) AS "col", k, true AS cov_ok
+FROM (SELECT * FROM o WHERE weighed), (VALUES (1), (3), (12)) AS s(k)
+QUALIFY lead(obsnme, k) OVER (PARTITION BY series, k ORDER BY t, obsnme) IS NOT NULL""".replace("OVER (PARTITION BY series ORDER", "OVER (PARTITION BY series, k ORDER"))
+def noise_pairs(spark, d):
+    """Covariance of observations that are 1, 3 and 12 apart in their series; independent draws fail here."""
+    n, obs = 400, _noise_obs(spark, d).where("weight != 0")
+    draws = noise_draw(obs, obs.select("obsnme", "series", "t"), NOISE, n, seed=43, draw_one_sided=True)
+    packed = draws.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("real").cast("int").alias("i"), "value"))), lambda x: x["value"]).alias("z"))
+    rows = packed.join(obs, F.col("name") == F.col("obsnme")).select("name", "series", "t", F.transform("z", lambda x: (x - F.col("obsval")) * F.col("weight")).alias("z"))
+    order = Window.partitionBy("series").orderBy("t", "name")
+    found = []
+    for k in (1, 3, 12):
+        pair = rows.select(F.col("name").alias("row"), F.lead("name", k).over(order).alias("col"), F.lit(k).alias("k"), "t", "z",
+                           F.lead("t", k).over(order).alias("t2"), F.lead("z", k).over(order).alias("z2")).where(F.col("col").isNotNull())
+        found.append(pair)
+    h = F.col("t2") - F.col("t")
+    want = sum((F.lit(v.contribution) * F.exp(-h / v.a) for v in NOISE.variograms), F.lit(0.0))
+    got = F.aggregate(F.zip_with("z", "z2", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / n
+    all_pairs = found[0].unionByName(found[1]).unionByName(found[2])
+    return all_pairs.select("row", "col", "k", (F.abs(got - want) < 6 * F.sqrt((1 + want * want) / n)).alias("cov_ok"))
+
+
 @check("N14_ensemble_based_draw", with_ctes("observations") + "SELECT obsnme AS name, 1000 AS n, true AS mean_ok, true AS std_ok FROM observations")
 def from_ensemble(spark, d):
     en = ensemble(spark, d)

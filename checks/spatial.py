@@ -159,6 +159,25 @@ def draws(spark, d):
         (F.col("lo") == F.col("hi")).alias("constant"))
 
 
+@check("G7_zone_draw_pairs", with_ctes("points") + f"""
+SELECT a AS row, b AS col, true AS cov_ok FROM (SELECT p.name AS a, q.name AS b, {_BALL.replace('dx', '(p.x - q.x)').replace('dy', '(p.y - q.y)')} AS v
+  FROM points p JOIN points q ON p.zone = q.zone AND p.name < q.name WHERE p.x > 50 AND q.x > 50 AND p.zone <> 3) WHERE v > 1""")
+def draw_pairs(spark, d):
+    """Pairs with a correlation above 1 / 2.25: the covariance of their draws is the prior's, within 6 standard errors and 0.04 of the factor."""
+    n = 200
+    pars, located, variance = _zone_inputs(spark, d)
+    located = located.where("zone <> 3")
+    draws = G.zone_draws(pars, located, variance, BALL, n, seed=37)
+    scaled = draws.join(located.select("name"), "name", "left_semi").join(pars.select("name", "mean"), "name").join(variance, "name")
+    z = scaled.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct(
+        F.col("real").cast("int").alias("i"), ((F.col("value") - F.col("mean")) / F.sqrt("var")).alias("z")))), lambda x: x["z"]).alias("z"))
+    pairs = G.point_covariance(located, BALL, ["zone"]).where((F.col("row") < F.col("col")) & (F.col("v") > 1)).select("row", "col", (F.col("v") / BALL.sill).alias("r"))
+    side = lambda c, a: z.select(F.col("name").alias(c), F.col("z").alias(a))
+    both = pairs.join(side("row", "_a"), "row").join(side("col", "_b"), "col")
+    got = F.aggregate(F.zip_with("_a", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / n
+    return both.select("row", "col", (F.abs(got - F.col("r")) < 6 * F.sqrt((1 + F.col("r") * F.col("r")) / n) + 0.04).alias("cov_ok"))
+
+
 @check("G8_density_curves", with_ctes("ensemble") + f"""
 , m AS (SELECT name, avg(value) AS mean, stddev_samp(value) AS std FROM ensemble GROUP BY 1), s AS (SELECT *, unnest(range(0, 50)) AS i FROM m)
 SELECT name, 'prior' AS kind, cast(i AS integer) AS i, {q_rnd('mean - 4 * std + i * 8.0::double / 49 * std')} AS x,
