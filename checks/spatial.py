@@ -44,7 +44,7 @@ SELECT p.target AS row, q.target AS col, {q_rnd("CASE WHEN p.target = q.target T
 FROM targets p JOIN targets q ON p.target <= q.target""")
 def dense_cov(spark, d):
     t = targets(spark, d).withColumnRenamed("target", "name")
-    return G.point_covariance(t, NESTED, nugget_everywhere=True).withColumn("v", rnd("v"))
+    return G.point_covariance(t, NESTED, nugget_everywhere=True, full=True).withColumn("v", rnd("v"))
 
 
 @check("J14_near_duplicates", with_ctes("points") + """
