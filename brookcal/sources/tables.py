@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +82,30 @@ def result_parts(name: Column) -> list[Column]:
     return [part(1).alias("root"), part(2).try_cast("int").alias("iteration"), part(3).alias("kind")]
 
 
-def list_results(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Result files as ``(file, root, iteration, kind)``; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), *result_parts(name))
+def list_results(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
+    """Result files as ``(folder, file, bytes, root, iteration, kind)``; contents are not read.
+
+    ``pattern`` is a glob over file names. With ``recursive``, files in folders below ``path`` are listed too, a folder for each
+    case. A name without iteration has none, and an empty root and kind.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    parts = F.split("path", "/")
+    files = reader.load(path).select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"), F.col("length").alias("bytes"))
+    return files.select("folder", "file", "bytes", *result_parts(F.col("file")))
+
+
+def in_bundle(file: Column, root: str, iterations: int = 3) -> Column:
+    """Whether a file belongs to the bundle of a run: data conflicts, objective, noise, and all of iterations 0 to ``iterations``."""
+    rest = F.when(file.startswith(root), F.substring(file, len(root) + 1, 10_000)).otherwise("")
+    numbered = [rest.startswith(f".{i}") for i in range(iterations + 1)]
+    noise = rest.startswith(".") & F.substring(rest, 2, 10_000).contains("noise")
+    return reduce(lambda a, b: a | b, [rest.contains("pdc"), rest.contains("phi"), noise, *numbered])
+
+
+def parameter_iterations(listing: DataFrame, root: str) -> DataFrame:
+    """``(folder, iteration, file)`` of the parameter files of a run: those of its base realization where it has any, else all."""
+    pars = listing.where(F.col("file").startswith(root) & F.col("file").endswith(".par"))
+    step = F.get(F.split(F.substring("file", len(root) + 1, 10_000), r"\."), F.lit(1)).try_cast("int")
+    base = F.lower("file").contains("base")
+    any_base = F.max(base).over(Window.partitionBy("folder"))
+    return pars.withColumn("_any", any_base).where(base == F.col("_any")).select("folder", step.alias("iteration"), "file").where(F.col("iteration").isNotNull())

@@ -23,6 +23,38 @@ def write_files(df, label, bucket="bucket"):
     return path
 
 
+def named_file_writer(path):
+    """Writes sorted ``folder, file, line`` rows of a task as ``path/folder/file``, each file under its own attempt first."""
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        current = out = attempt = None
+
+        def close():
+            out.close()
+            store.move(attempt, f"{root}/{current[0]}/{current[1]}")
+            return pa.RecordBatch.from_pylist([dict(zip(("folder", "file"), current))])
+
+        for batch in batches:
+            for folder, file, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if current != (folder, file):
+                    if current is not None:
+                        yield close()
+                    current, attempt = (folder, file), f"{root}/_attempts/{uuid.uuid4().hex}"
+                    store.create_dir(f"{root}/_attempts", recursive=True)
+                    store.create_dir(f"{root}/{folder}", recursive=True)
+                    out = store.open_output_stream(attempt)
+                out.write(f"{line}\n".encode())
+        if current is not None:
+            yield close()
+
+    return write
+
+
 def spread_lines(spark, body, head, label):
     """Body lines over four files, each starting with the head lines."""
     b = body.select(F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.lit(len(head)).alias("o"), "value")
@@ -231,11 +263,43 @@ def pilot_points(spark, d):
     return SX.scan_pilot_points(spark, path).withColumn("x", rnd("x")).withColumn("y", rnd("y"))
 
 
-@check("S20_result_listing", """
-SELECT 'run' AS root, i AS iteration, kind, cast(n AS bigint) AS n FROM (SELECT i, kind, count(*) AS n FROM
- (SELECT l_linenumber AS i, CASE l_returnflag WHEN 'A' THEN 'obs' WHEN 'N' THEN 'par' ELSE 'phi.group' END AS kind FROM lineitem) GROUP BY 1, 2)""")
+_RESULTS = """WITH l AS (SELECT l_returnflag AS folder, CASE WHEN l_linenumber % 3 = 0 THEN 'prior' ELSE 'ies_hot' END AS root, l_linenumber AS i, l_suppkey % 7 AS m,
+  cast(l_orderkey AS varchar) || ',' || cast(l_linenumber AS varchar) AS line FROM lineitem),
+f AS (SELECT folder, root || CASE m WHEN 0 THEN '.' || i || '.obs.csv' WHEN 1 THEN '.' || i || '.par.csv' WHEN 2 THEN '.' || i || '.base.par'
+  WHEN 3 THEN '.phi.actual.csv' WHEN 4 THEN '.' || i || '.pdc.csv' WHEN 5 THEN '.obs+noise.csv' ELSE '.log' END AS file, line FROM l),
+g AS (SELECT folder, file, cast(sum(length(line) + 1) AS bigint) AS bytes FROM f GROUP BY 1, 2)
+"""
+
+
+def _result_files(spark, d):
+    """Order lines as result files: a folder for each return flag, named by line number and supplier."""
+    root, i = F.when(F.col("l_linenumber") % 3 == 0, "prior").otherwise("ies_hot"), F.col("l_linenumber").cast("string")
+    kinds = {0: "obs.csv", 1: "par.csv", 2: "base.par", 4: "pdc.csv"}
+    others = {3: ".phi.actual.csv", 5: ".obs+noise.csv"}
+    name = F.lit(".log")
+    for mode, kind in kinds.items():
+        name = F.when(F.col("l_suppkey") % 7 == mode, F.concat(F.lit("."), i, F.lit(f".{kind}"))).otherwise(name)
+    for mode, kind in others.items():
+        name = F.when(F.col("l_suppkey") % 7 == mode, F.lit(kind)).otherwise(name)
+    rows = read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("folder"), F.concat(root, name).alias("file"), F.concat_ws(",", F.col("l_orderkey").cast("string"), i).alias("line"))
+    path = scratch_path(spark, "results")
+    rows.repartition("folder", "file").sortWithinPartitions("folder", "file").mapInArrow(named_file_writer(path), "folder string, file string").collect()
+    return path
+
+
+@check("S20_result_listing", _RESULTS + r"""
+SELECT folder, file, bytes, regexp_extract(file, '^(.*?)\.(\d+)\.(.*)\.[^.]+$', 1) AS root, try_cast(regexp_extract(file, '^(.*?)\.(\d+)\.(.*)\.[^.]+$', 2) AS integer) AS iteration,
+  regexp_extract(file, '^(.*?)\.(\d+)\.(.*)\.[^.]+$', 3) AS kind,
+  file LIKE 'ies_hot%pdc%' OR file LIKE 'ies_hot%phi%' OR file LIKE 'ies_hot.%noise%' OR file LIKE 'ies_hot.0%' OR file LIKE 'ies_hot.1%' OR file LIKE 'ies_hot.2%' OR file LIKE 'ies_hot.3%' AS bundled
+FROM g WHERE file LIKE '%.csv'""")
 def listing(spark, d):
-    """Result names derived from order lines, resolved with the same pattern the listing uses."""
-    kind = F.when(F.col("l_returnflag") == "A", "obs").when(F.col("l_returnflag") == "N", "par").otherwise("phi.group")
-    names = read(spark, d, "lineitem").select(F.concat(F.lit("run."), F.col("l_linenumber").cast("string"), F.lit("."), kind, F.lit(".csv")).alias("file"))
-    return names.select(*ST.result_parts(F.col("file"))).groupBy("root", "iteration", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Csv files of all cases, written to the shared folder and listed there."""
+    found = ST.list_results(spark, _result_files(spark, d), "*.csv", recursive=True)
+    return found.withColumn("bundled", ST.in_bundle(F.col("file"), "ies_hot"))
+
+
+@check("S20_parameter_iterations", _RESULTS + r"""
+SELECT folder, cast(string_split(file, '.')[2] AS integer) AS iteration, file FROM g WHERE file LIKE 'ies_hot%.base.par'""")
+def listed_iterations(spark, d):
+    return ST.parameter_iterations(ST.list_results(spark, _result_files(spark, d), recursive=True), "ies_hot")
