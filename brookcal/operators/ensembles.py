@@ -203,6 +203,27 @@ def change_summary(first: DataFrame, second: DataFrame, pars: DataFrame | None =
         F.try_divide(100.0 * (F.col("std1") - F.col("std2")), F.col("std1")).alias("std_change"))
 
 
+def change_histograms(changes: DataFrame, groups: DataFrame, bins: int = 10) -> DataFrame:
+    """Histograms of ``change_summary`` by group: ``(group, measure, bin, low, high, n, entries, smallest, largest)``.
+
+    ``groups(name, group, active)``; the group ``all`` holds the active names. ``bins`` bins of equal width, numbered from 1 and
+    closed on the left, span the values of a group, the last one is closed on both sides; equal values lie in the middle of a
+    span of 1. Missing changes do not count, and every bin of a group with values is a row.
+    """
+    named = groups.select("name", "group").unionByName(groups.where("active").select("name", F.lit("all").alias("group")))
+    long = changes.join(named, "name").unpivot(["name", "group"], ["mean_change", "std_change"], "measure", "v").where(
+        F.col("v").isNotNull() & ~F.isnan("v")).withColumn("measure", F.regexp_replace("measure", "_change", ""))
+    span = long.groupBy("group", "measure").agg(F.count(F.lit(1)).alias("entries"), F.min("v").alias("smallest"), F.max("v").alias("largest"))
+    half = F.when(F.col("smallest") == F.col("largest"), F.lit(0.5)).otherwise(F.lit(0.0))
+    span = span.withColumn("_lo", F.col("smallest") - half).withColumn("_w", (F.col("largest") + half - (F.col("smallest") - half)) / bins)
+    slot = F.least(F.floor((F.col("v") - F.col("_lo")) / F.col("_w")) + 1, F.lit(bins)).cast("int")
+    counts = long.join(span, ["group", "measure"]).groupBy("group", "measure", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = span.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    return every.join(counts, ["group", "measure", "bin"], "left").select(
+        "group", "measure", "bin", (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("low"), (F.col("_lo") + F.col("bin") * F.col("_w")).alias("high"),
+        F.coalesce("n", F.lit(0)).alias("n"), "entries", "smallest", "largest")
+
+
 def variance_reduction(prior: DataFrame, posterior: DataFrame) -> DataFrame:
     var = lambda df, n: df.groupBy("name").agg(F.var_samp("value").alias(n))
     return var(prior, "prior_var").join(var(posterior, "post_var"), "name").withColumn(

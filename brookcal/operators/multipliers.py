@@ -222,20 +222,23 @@ def array_summary(
     return out.select("*", *[(F.col(f"{s}_org") - F.col(s)).alias(f"{s}_dif") for s in wanted])
 
 
-def time_differences(obs: DataFrame, prefix: str = "dif") -> DataFrame:
+def time_differences(obs: DataFrame, prefix: str = "dif", include_zero_weight: bool = False) -> DataFrame:
     """Consecutive pairs (by name) of the positively weighted observations of each group.
 
-    Value first - second, weight 1 / sqrt(s1^2 + s2^2) with s = 1 / weight.
+    Value first - second, weight 1 / sqrt(s1^2 + s2^2) with s = 1 / weight. With ``include_zero_weight`` observations without
+    weight take part as well; a pair that holds one has weight 0.
     """
-    rows = obs.where(F.col("weight") > 0).select("obsnme", "obgnme", "obsval", "weight")
+    taken = obs if include_zero_weight else obs.where(F.col("weight") > 0)
+    rows = taken.select("obsnme", "obgnme", "obsval", "weight")
     t = lead_in_group(rows, "obgnme", "obsnme", ["obsnme", "obsval", "weight"]).where(F.col("next_obsnme").isNotNull())
-    spread = F.pow(F.lit(1.0) / F.col("weight"), F.lit(2.0)) + F.pow(F.lit(1.0) / F.col("next_weight"), F.lit(2.0))
+    square = lambda c: F.pow(F.lit(1.0) / F.col(c), F.lit(2.0))
+    both = (F.col("weight") > 0) & (F.col("next_weight") > 0)
     return t.select(
         F.concat(F.lit(f"{prefix}_"), "obsnme", F.lit("__"), "next_obsnme").alias("obsnme"),
         F.concat(F.lit(f"{prefix}_"), "obgnme").alias("obgnme"),
         F.col("obsnme").alias("diff1"), F.col("next_obsnme").alias("diff2"),
         (F.col("obsval") - F.col("next_obsval")).alias("diff_obsval"),
-        (F.lit(1.0) / F.sqrt(spread)).alias("weight"))
+        F.when(both, F.lit(1.0) / F.sqrt(square("weight") + square("next_weight"))).otherwise(F.lit(0.0)).alias("weight"))
 
 
 def apply_time_differences(config: DataFrame, simulated: DataFrame) -> DataFrame:

@@ -262,6 +262,14 @@ def ensemble_fit_metrics(
     return grouped.select("real", "group", *[M.METRICS[m](compat).alias(m) for m in wanted])
 
 
+def merge_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two count tables side by side; a key that only one of them has keeps NULL in the other's columns. Keys are distinct in each."""
+    clash = set(left.columns) & set(right.columns) - {key}
+    if clash:
+        raise ValueError(f"both count tables have {sorted(clash)}")
+    return left.join(right, key, "full")
+
+
 def conflict_summary(obs: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Non-zero groups with their counts, full-outer with the conflict counts of any group."""
     counts = (
@@ -275,7 +283,7 @@ def conflict_summary(obs: DataFrame, conflicts: DataFrame) -> DataFrame:
     )
     share = F.col("pdc_counts") / F.col("obs_counts")
     return (
-        counts.join(hits, "obgnme", "full")
+        merge_counts(counts, hits, "obgnme")
         .withColumn("fraction", share)
         .withColumn("group_percent_pdc", F.when(share.isNotNull(), F.format_string("%.2f%%", share * 100.0)).otherwise("nan%"))
     )

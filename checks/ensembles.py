@@ -160,6 +160,22 @@ def change(spark, d):
         "name", rnd("mean_change", 9).alias("mean_change"), rnd(F.when(F.col("s") > 1e-9, F.col("std_change")), 4).alias("std_change"))
 
 
+@check("A25_change_histograms", with_ctes("ensemble", "observations") + f"""
+, t AS (SELECT e.name, obgnme, weight, avg(value) - avg(least(value, 0.1)) AS mean, 100 * (stddev_samp(value) - stddev_samp(least(value, 0.1))) / stddev_samp(value) AS std
+ FROM ensemble e JOIN observations ON obsnme = e.name GROUP BY 1, 2, 3),
+g AS (SELECT obgnme AS "group", mean, std FROM t UNION ALL SELECT 'all', mean, std FROM t WHERE weight <> 0),
+l AS (SELECT "group", 'mean' AS measure, mean AS v FROM g UNION ALL SELECT "group", 'std', std FROM g),
+s AS (SELECT "group", measure, count(*) AS entries, min(v) AS lo, max(v) AS hi FROM l GROUP BY 1, 2),
+b AS (SELECT "group", measure, least(floor((v - lo) / ((hi - lo) / 7)) + 1, 7) AS bin, count(*) AS n FROM l JOIN s USING ("group", measure) GROUP BY 1, 2, 3)
+SELECT s."group", s.measure, cast(k AS integer) AS bin, {q_rnd('lo + (k - 1) * ((hi - lo) / 7)')} AS low, {q_rnd('lo + k * ((hi - lo) / 7)')} AS high, coalesce(n, 0) AS n, entries,
+ {q_rnd('lo')} AS smallest, {q_rnd('hi')} AS largest FROM s CROSS JOIN range(1, 8) AS r(k) LEFT JOIN b ON b."group" = s."group" AND b.measure = s.measure AND b.bin = k""")
+def change_by_group(spark, d):
+    first = ensemble(spark, d)
+    obs = observations(spark, d).select(F.col("obsnme").alias("name"), F.col("obgnme").alias("group"), (F.col("weight") != 0).alias("active"))
+    t = E.change_histograms(E.change_summary(first, first.withColumn("value", F.least("value", F.lit(0.1)))), obs, 7)
+    return t.select("group", "measure", "bin", "n", "entries", *[rnd(c).alias(c) for c in ("low", "high", "smallest", "largest")])
+
+
 @check("A30_variance_reduction", with_ctes("ensemble") + f"""
 SELECT name, {q_rnd('var_samp(value)', 9)} AS prior_var, {q_rnd('var_samp(least(value, 0.1))', 9)} AS post_var,
  {q_rnd('100 * (1 - var_samp(least(value, 0.1)) / var_samp(value))')} AS percent_reduction FROM ensemble GROUP BY 1""")

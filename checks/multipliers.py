@@ -205,6 +205,16 @@ def differences(spark, d):
     return t.select("obsnme", "obgnme", rnd("diff_obsval").alias("diff_obsval"), rnd("weight").alias("weight"))
 
 
+@check("W8_time_differences_with_zeros", with_ctes("residuals") + f"""
+, p AS (SELECT *, lead(name) OVER w AS n2, lead(measured) OVER w AS m2, lead(weight) OVER w AS w2 FROM residuals WINDOW w AS (PARTITION BY "group" ORDER BY name))
+SELECT 'dif_' || name || '__' || n2 AS obsnme, {q_rnd('measured - m2')} AS diff_obsval,
+ {q_rnd('CASE WHEN weight > 0 AND w2 > 0 THEN 1 / sqrt((1 / weight) ** 2 + (1 / w2) ** 2) ELSE 0 END')} AS weight FROM p WHERE n2 IS NOT NULL""")
+def differences_with_zeros(spark, d):
+    obs = residuals(spark, d).select(F.col("name").alias("obsnme"), F.col("group").alias("obgnme"), F.col("measured").alias("obsval"), "weight")
+    t = M.time_differences(obs, include_zero_weight=True)
+    return t.select("obsnme", rnd("diff_obsval").alias("diff_obsval"), rnd("weight").alias("weight"))
+
+
 @check("W8_apply_time_differences", with_ctes("residuals") + f"""
 , p AS (SELECT *, lead(name) OVER w AS n2, lead(modelled) OVER w AS m2 FROM residuals WHERE weight > 0 WINDOW w AS (PARTITION BY "group" ORDER BY name))
 SELECT 'dif_' || name || '__' || n2 AS obsnme, {q_rnd('modelled')} AS diff1_obsval, {q_rnd('m2')} AS diff2_obsval, {q_rnd('modelled - m2')} AS diff_obsval FROM p WHERE n2 IS NOT NULL""")

@@ -230,7 +230,7 @@ def outer_counts(spark, d):
     ev = read(spark, d, "events")
     a = ev.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors"))
     b = ev.where("event_type = 'signup'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_signups"))
-    return a.join(b, "user_id", "full")
+    return S.merge_counts(a, b, "user_id")
 
 
 @check("N1_phi_vector", with_ctes("phi_vec") + f"SELECT real, {q_sig('phi')} AS phi FROM phi_vec")
