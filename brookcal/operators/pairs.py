@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookcal.operators.ensembles import deviations
-from brookcal.session import one_row, spread
+from brookcal.session import cut_lineage, one_row, spread
 
 TILE = 512
 INNER = 1024
@@ -34,68 +34,144 @@ def _bucket(col: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(col), n).cast("int")
 
 
-def _dense(names: np.ndarray, k: np.ndarray, v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes, unique = pd.factorize(names)
-    values, seen = np.zeros((len(unique), width)), np.zeros((len(unique), width))
-    np.add.at(values, (codes, k), v)
-    seen[codes, k] = 1.0
-    return np.asarray(unique, dtype=object), values, seen
+def _packer(keys: list[str], extra: list[str]):
+    """Entries of one block and inner chunk as one row: sorted names and k, and the entries by place in that rectangle."""
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        k_codes, ks = pd.factorize(pdf["_k"], sort=True)
+        a_codes, names = pd.factorize(pdf["_a"], sort=True)
+        # entries given twice are added
+        at, place = np.unique(a_codes.astype(np.int64) * len(ks) + k_codes, return_inverse=True)
+        v = np.bincount(place, pdf["_v"].to_numpy(dtype=float), len(at))
+        first = np.unique(a_codes, return_index=True)[1]
+        same = {c: [pdf[c].iloc[0]] for c in [*keys, "_b", "_kc"]}
+        own = {x: [pdf[x].to_numpy(dtype=float)[first]] for x in extra}
+        return pd.DataFrame({**same, "names": [np.asarray(names, dtype=object)], "ks": [np.asarray(ks, dtype=object)], "at": [at], "v": [v], **own})
+
+    return pack
+
+
+def _packed(rows: DataFrame, keys: list[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Each entry of ``rows(keys, _a, _k, _v, _b, _kc)`` is shuffled once; what is copied to tiles later are packed rows.
+
+    A packed row has up to about TILE names and INNER k and holds no string per entry.
+    """
+    types = dict(rows.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_b int", "_kc int", "names array<string>", "ks array<string>", "at array<long>", "v array<double>"] + [
+        f"`{x}` array<double>" for x in extra])
+    texts = rows.withColumn("_a", F.col("_a").cast("string")).withColumn("_k", F.col("_k").cast("string"))
+    group = [*keys, "_b", "_kc"]
+    return spread(texts, *group).groupBy(*group).applyInPandas(_packer(keys, list(extra)), schema)
+
+
+def _unpack(row: pd.Series, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of a packed row, its values over ``ks``, and where it has some."""
+    names, own, at = np.asarray(row["names"], dtype=object), np.asarray(row["ks"], dtype=object), np.asarray(row["at"])
+    values, seen = np.zeros((len(names), len(ks))), np.zeros((len(names), len(ks)))
+    r, c = at // len(own), np.searchsorted(ks, own)[at % len(own)]
+    values[r, c], seen[r, c] = row["v"], 1.0
+    return names, values, seen
+
+
+def _multiplier(keys: list[str], dense: bool, extra: list[str]):
+    columns = [*keys, "_bi", "_bj", "rows", "cols", "v", *[f"r_{x}" for x in extra], *[f"c_{x}" for x in extra]]
 
-def _multiplier(keys: list[str], symmetric: bool, dense: bool):
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        is_left = pdf["_left"].to_numpy(dtype=bool)
-        k_codes, k_names = pd.factorize(pdf["_k"])
-        a, v, width = pdf["_a"].to_numpy(dtype=object), pdf["_v"].to_numpy(dtype=float), len(k_names)
-        rn, left, seen_l = _dense(a[is_left], k_codes[is_left], v[is_left], width)
-        if symmetric and bi == bj:
-            cn, right, seen_r = rn, left, seen_l
-        else:
-            cn, right, seen_r = _dense(a[~is_left], k_codes[~is_left], v[~is_left], width)
-        product = left @ right.T
+        one = pdf.iloc[0]
+        if len(pdf) == 1 and not one["_self"]:
+            return pd.DataFrame(columns=columns)  # the other block has nothing in this chunk
+        left, right = (one, one) if one["_self"] else (pdf[pdf["_left"]].iloc[0], pdf[~pdf["_left"].astype(bool)].iloc[0])
+        ks = np.unique(np.concatenate([np.asarray(p["ks"], dtype=object) for p in (left, right)]))
+        rn, a, seen_a = _unpack(left, ks)
+        cn, b, seen_b = (rn, a, seen_a) if one["_self"] else _unpack(right, ks)
+        product = a @ b.T
         if not dense:
-            product[(seen_l @ seen_r.T) == 0] = np.nan
-        same = {key: [pdf[key].iloc[0]] for key in keys}
-        return pd.DataFrame({**same, "_bi": [bi], "_bj": [bj], "rows": [rn], "cols": [cn], "v": [product.ravel()]})
+            product[(seen_a @ seen_b.T) == 0] = np.nan
+        sides = {f"{side}_{x}": [part[x]] for side, part in (("r", left), ("c", right)) for x in extra}
+        return pd.DataFrame({**{c: [one[c]] for c in [*keys, "_bi", "_bj"]}, "rows": [rn], "cols": [cn], "v": [product.ravel()], **sides})[columns]
 
     return multiply
 
 
+class _Tile:
+    """Sum of the partial products of one tile, over names that may differ from chunk to chunk."""
+
+    def __init__(self, extra: list[str]):
+        self.extra = extra
+        self.names = [np.array([], dtype=object)] * 2
+        self.value, self.seen = np.zeros((0, 0)), np.zeros((0, 0), dtype=bool)
+        self.own = {(side, x): np.zeros(0) for side in (0, 1) for x in extra}
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, v: np.ndarray, own: dict) -> None:
+        wider = [np.union1d(mine, new) for mine, new in zip(self.names, (rows, cols))]
+        if tuple(map(len, wider)) != self.value.shape:
+            kept = [np.searchsorted(w, mine) for w, mine in zip(wider, self.names)]
+            value, seen = np.zeros(tuple(map(len, wider))), np.zeros(tuple(map(len, wider)), dtype=bool)
+            value[np.ix_(*kept)], seen[np.ix_(*kept)] = self.value, self.seen
+            for (side, x), old in self.own.items():
+                self.own[side, x] = np.zeros(len(wider[side]))
+                self.own[side, x][kept[side]] = old
+            self.names, self.value, self.seen = wider, value, seen
+        at = [np.searchsorted(mine, new) for mine, new in zip(self.names, (rows, cols))]
+        part = np.asarray(v, dtype=float).reshape(len(rows), len(cols))
+        self.value[np.ix_(*at)] += np.nan_to_num(part)
+        self.seen[np.ix_(*at)] |= ~np.isnan(part)
+        for (side, x), values in own.items():
+            self.own[side, x][at[side]] = values
+
+
+def _sum_tile(batches: Iterator[pd.DataFrame], keys: list[str], extra: list[str]) -> tuple[dict, _Tile]:
+    same, tile = {}, _Tile(extra)
+    for pdf in batches:
+        same = same or {c: pdf[c].iloc[0] for c in [*keys, "_bi", "_bj"]}
+        for _, r in pdf.iterrows():
+            tile.add(r["rows"], r["cols"], r["v"], {(i, x): r[f"{side}_{x}"] for i, side in enumerate("rc") for x in extra})
+    return same, tile
+
+
 def _summer(keys: list[str]):
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        same, rn, cn = {}, np.array([], dtype=object), np.array([], dtype=object)
-        value, seen = np.zeros((0, 0)), np.zeros((0, 0), dtype=bool)
-        for pdf in batches:
-            same = same or {c: [pdf[c].iloc[0]] for c in [*keys, "_bi", "_bj"]}
-            for rows, cols, v in zip(pdf["rows"], pdf["cols"], pdf["v"]):
-                all_rows, all_cols = np.union1d(rn, rows), np.union1d(cn, cols)
-                if (len(all_rows), len(all_cols)) != value.shape:
-                    kept = np.ix_(np.searchsorted(all_rows, rn), np.searchsorted(all_cols, cn))
-                    wider, known = np.zeros((len(all_rows), len(all_cols))), np.zeros((len(all_rows), len(all_cols)), dtype=bool)
-                    wider[kept], known[kept] = value, seen
-                    rn, cn, value, seen = all_rows, all_cols, wider, known
-                part = np.asarray(v, dtype=float).reshape(len(rows), len(cols))
-                at = np.ix_(np.searchsorted(rn, rows), np.searchsorted(cn, cols))
-                value[at] += np.nan_to_num(part)
-                seen[at] |= ~np.isnan(part)
-        value[~seen] = np.nan
-        yield pd.DataFrame({**same, "rows": [rn], "cols": [cn], "v": [value.ravel()]})
+        same, tile = _sum_tile(batches, keys, [])
+        tile.value[~tile.seen] = np.nan
+        yield pd.DataFrame({**{c: [v] for c, v in same.items()}, "rows": [tile.names[0]], "cols": [tile.names[1]], "v": [tile.value.ravel()]})
 
     return total
 
 
-def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], symmetric: bool, dense: bool) -> DataFrame:
+def _picker(keys: list[str], extra: list[str], test):
+    """The pairs of a tile, row before col, that pass ``test(values, row extras, col extras)``."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        same, tile = _sum_tile(batches, keys, extra)
+        found, value = test(tile.value, *[{x: tile.own[side, x] for x in extra} for side in (0, 1)])
+        r, c = np.nonzero(found & tile.seen)
+        a, b = tile.names[0][r], tile.names[1][c]
+        if same["_bi"] == same["_bj"]:
+            r, c, a, b = (x[a < b] for x in (r, c, a, b))
+        swap = a > b
+        row, col = np.where(swap, b, a), np.where(swap, a, b)
+        yield pd.DataFrame({**{k: [same[k]] * len(r) for k in keys}, "row": row, "col": col, "v": value[r, c]})
+
+    return pick
+
+
+def _partial_tiles(both: DataFrame, keys: list[str], types: dict[str, str], dense: bool, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per tile and inner chunk; tiles travel packed, so no name is repeated per pair in a shuffle."""
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [
+        "_bi int", "_bj int", "rows array<string>", "cols array<string>", "v array<double>"] + [f"`{s}_{x}` array<double>" for s in "rc" for x in extra])
+    tile_key = [*keys, "_bi", "_bj"]
+    return spread(both, *tile_key, "_kc").groupBy(*tile_key, "_kc").applyInPandas(_multiplier(keys, dense, list(extra)), schema)
+
+
+def _multiply_tiles(both: DataFrame, keys: list[str], types: dict[str, str], dense: bool) -> DataFrame:
     """One row per tile: names of both sides and the flattened values; a missing value marks pairs that share no k.
 
-    Tiles travel packed, so no name is repeated per pair in a shuffle. Chunks
-    of the inner dimension are added as they arrive: a task holds the sum and
-    one batch, however many chunks there are.
+    Chunks of the inner dimension are added as they arrive: a task holds the
+    sum and one batch, however many chunks there are.
     """
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [
-        "_bi int", "_bj int", "rows array<string>", "cols array<string>", "v array<double>"])
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["_bi int", "_bj int", "rows array<string>", "cols array<string>", "v array<double>"])
     tile_key = [*keys, "_bi", "_bj"]
-    parts = spread(both, *tile_key, "_kc").groupBy(*tile_key, "_kc").applyInPandas(_multiplier(keys, symmetric, dense), schema)
+    parts = _partial_tiles(both, keys, types, dense)
     return spread(parts, *tile_key).groupBy(*tile_key).applyInPandas(_summer(keys), schema)
 
 
@@ -111,25 +187,30 @@ def _entries(tiles: DataFrame, keys: list[str], symmetric: bool) -> DataFrame:
         *keys, F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), "v")
 
 
+def _with_partners(packed: DataFrame, others: Column) -> DataFrame:
+    """Packed rows copied to the tiles of their block with each of ``others``; a diagonal tile holds its block once."""
+    b, o = F.col("_b"), F.col("_o")
+    return packed.withColumn("_o", F.explode(others)).withColumn("_left", o >= b).withColumn("_self", o == b).withColumn(
+        "_bi", F.least(b, o)).withColumn("_bj", F.greatest(b, o)).drop("_o", "_b")
+
+
 def gram_tiles(
     rows: DataFrame, keys: Sequence[str] = (), dense: bool = False, tile: int = TILE, inner: int = INNER
 ) -> DataFrame:
     """Sum over k of v(a, k) x v(b, k), per key, as packed tiles with ``_bi`` <= ``_bj``.
 
-    ``rows([keys,] row, k, v)`` is read once: each entry goes to the tiles of
-    its block with the blocks after it (left) and before it (right); a diagonal
-    tile holds its block only once.
+    ``rows([keys,] row, k, v)`` is read once and each entry is shuffled once,
+    to its block; packed blocks go to the tiles with the blocks after them
+    (left) and before them (right).
     """
     keys = list(keys)
     n = _tile_counts(rows, {"row": tile, "k": inner})
     blocks, chunks = F.get(n, F.lit(0)), F.get(n, F.lit(1))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o")
-    b, o = F.col("_b"), F.col("_o")
-    both = rows.select(
+    entries = rows.select(
         *keys, F.col("row").alias("_a"), F.col("k").alias("_k"), F.col("v").cast("double").alias("_v"),
-        _bucket("row", blocks).alias("_b"), _bucket("k", chunks).alias("_kc"), other,
-    ).select(*keys, "_a", "_k", "_v", "_kc", (o >= b).alias("_left"), F.least(b, o).alias("_bi"), F.greatest(b, o).alias("_bj"))
-    return _multiply_tiles(both, keys, dict(rows.dtypes), True, dense)
+        _bucket("row", blocks).alias("_b"), _bucket("k", chunks).alias("_kc"))
+    both = _with_partners(_packed(entries, keys), F.sequence(F.lit(0), blocks - 1))
+    return _multiply_tiles(both, keys, dict(rows.dtypes), dense)
 
 
 def gram_product(
@@ -139,6 +220,45 @@ def gram_product(
     return _entries(gram_tiles(rows, keys, dense, tile, inner), list(keys), True)
 
 
+def reaching_tiles(rows: DataFrame, least: float | None, extra: Sequence[str] = (), tile: int = TILE, inner: int = INNER) -> DataFrame:
+    """Packed blocks next to the blocks with which a product of ``least`` or more in magnitude is possible.
+
+    Blocks hold names of similar length, so by Cauchy-Schwarz the longest of two blocks bound all of their products; the
+    other tiles are never formed. Without ``least`` all are.
+    """
+    # names of equal length are told apart by a hash, so that no block takes them all
+    jitter = F.lit(1.0) + F.pmod(F.xxhash64("row"), F.lit(1 << 20)) * F.lit(1e-15)
+    norms = cut_lineage(rows.groupBy("row").agg((F.sqrt(F.sum(F.col("v") * F.col("v"))) * jitter).alias("_norm")))
+    names = norms.count()
+    blocks = max(1, -(-names // tile))
+    shares = [i / blocks for i in range(1, blocks)]
+    # the driver holds two numbers a block
+    cuts = norms.agg(F.percentile_approx("_norm", shares, 100_000)).collect()[0][0] if shares and names else []
+    placed = norms.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts or [])).cast("array<double>"), lambda c: c < F.col("_norm"))).cast("int"))
+    tops = sorted((r["_b"], r["m"]) for r in placed.groupBy("_b").agg(F.max("_norm").alias("m")).collect())
+    chunks = F.get(_tile_counts(rows, {"k": inner}), F.lit(0))
+    entries = rows.join(placed, "row").select(
+        F.col("row").alias("_a"), F.col("k").alias("_k"), F.col("v").cast("double").alias("_v"), "_b", _bucket("k", chunks).alias("_kc"), *extra)
+    # tops rise with the block, so the partners of a block are all from a first one on
+    partners = [(b, [o for o, n in tops if least is None or m * n * (1.0 + 1e-9) >= least][:1], tops[-1][0]) for b, m in tops]
+    partners = rows.sparkSession.createDataFrame(partners, "_b int, first array<int>, last int")
+    reach = _packed(entries, [], extra).join(partners, "_b").where(F.size("first") > 0)
+    return _with_partners(reach, F.sequence(F.get("first", F.lit(0)), F.col("last"))).drop("first", "last")
+
+
+def gram_hits(
+    rows: DataFrame, test, least: float | None = None, extra: Sequence[str] = (), dense: bool = True, tile: int = TILE, inner: int = INNER
+) -> DataFrame:
+    """Pairs (row < col) of the Gram matrix of ``rows(row, k, v)`` that pass a test, found inside the tile tasks.
+
+    ``test(values, row_extras, col_extras)`` gets a tile and, by name, the ``extra`` columns of its rows and columns (one value a
+    name), and returns which pairs to keep and the value to report. ``least`` is a magnitude without which no pair passes.
+    """
+    both = reaching_tiles(rows, least, extra, tile, inner)
+    parts = _partial_tiles(both, [], {}, dense, extra)
+    return spread(parts, "_bi", "_bj").groupBy("_bi", "_bj").applyInPandas(_picker([], list(extra), test), "row string, col string, v double")
+
+
 def block_product(
     left: DataFrame,
     right: DataFrame,
@@ -156,14 +276,16 @@ def block_product(
     rb, kc = F.get(n, F.lit(0)), F.get(n, F.lit(1))
     cb = F.get(_tile_counts(right, {"col": tile}), F.lit(0))
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-    v = F.col("v").cast("double").alias("_v")
-    lhs = left.select(
-        *keys, F.col("row").alias("_a"), F.col("k").alias("_k"), v, F.lit(True).alias("_left"),
-        _bucket("row", rb).alias("_bi"), _bucket("k", kc).alias("_kc"), every(cb).alias("_bj"))
-    rhs = right.select(
-        *keys, F.col("col").alias("_a"), F.col("k").alias("_k"), v, F.lit(False).alias("_left"),
-        every(rb).alias("_bi"), _bucket("k", kc).alias("_kc"), _bucket("col", cb).alias("_bj"))
-    return _entries(_multiply_tiles(lhs.unionByName(rhs), keys, dict(left.dtypes), False, dense), keys, False)
+
+    def side(df: DataFrame, name: str, blocks: Column) -> DataFrame:
+        return _packed(df.select(
+            *keys, F.col(name).alias("_a"), F.col("k").alias("_k"), F.col("v").cast("double").alias("_v"),
+            _bucket(name, blocks).alias("_b"), _bucket("k", kc).alias("_kc")), keys)
+
+    lhs = side(left, "row", rb).withColumn("_left", F.lit(True)).withColumn("_bj", every(cb)).withColumnRenamed("_b", "_bi")
+    rhs = side(right, "col", cb).withColumn("_left", F.lit(False)).withColumn("_bi", every(rb)).withColumnRenamed("_b", "_bj")
+    both = lhs.unionByName(rhs).withColumn("_self", F.lit(False))
+    return _entries(_multiply_tiles(both, keys, dict(left.dtypes), dense), keys, False)
 
 
 # covariance ---------------------------------------------------------------
@@ -207,13 +329,23 @@ def pearson(cov: DataFrame) -> DataFrame:
     )
 
 
-def correlation_equations(cov: DataFrame, pars: DataFrame, drop_tol: float = 1e-3) -> DataFrame:
-    """Equation rows tying adjustable pairs whose signed correlation reaches the tolerance."""
+def correlated_pairs(ens: DataFrame, least: float) -> DataFrame:
+    """``(row, col, v)`` of names, row < col, whose correlation over the realizations is ``least`` or more; a constant has none.
+
+    Correlations are tested in the tile that forms them, so only hits leave a task.
+    """
+    dev = deviations(ens)
+    norm = dev.groupBy("name").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n")).where(F.col("_n") > 0)
+    unit = dev.join(norm, "name").select(F.col("name").alias("row"), F.col("real").alias("k"), (F.col("value") / F.col("_n")).alias("v"))
+    return gram_hits(unit, lambda v, a, b: (v >= least, v))
+
+
+def tie_equations(pairs: DataFrame, pars: DataFrame) -> DataFrame:
+    """Equation rows tying the adjustable ones among ``pairs(row, col, v)``; the correlation is the weight."""
     p = pars.where(~F.col("partrans").isin("tied", "fixed")).select(
         "parnme", F.when(F.col("partrans") == "log", F.format_string("log(%s)", "parnme")).otherwise(F.col("parnme")).alias("_t"))
-    r = pearson(cov).where((F.col("row") < F.col("col")) & (F.col("v") >= drop_tol))
     return (
-        r.join(p.select(F.col("parnme").alias("row"), F.col("_t").alias("_a")), "row")
+        pairs.join(p.select(F.col("parnme").alias("row"), F.col("_t").alias("_a")), "row")
         .join(p.select(F.col("parnme").alias("col"), F.col("_t").alias("_b")), "col")
         .select(
             F.concat_ws("_", F.lit("pcc"), "row", "col").alias("pilbl"),
@@ -222,20 +354,35 @@ def correlation_equations(cov: DataFrame, pars: DataFrame, drop_tol: float = 1e-
     )
 
 
+def correlation_equations(cov: DataFrame, pars: DataFrame, drop_tol: float = 1e-3) -> DataFrame:
+    """Equation rows tying adjustable pairs whose signed correlation reaches the tolerance.
+
+    From an ensemble, ``tie_equations(correlated_pairs(...))`` gives them without a table of all pairs.
+    """
+    return tie_equations(pearson(cov).where((F.col("row") < F.col("col")) & (F.col("v") >= drop_tol)), pars)
+
+
+def _conflict(size: int, critical: float):
+    def test(v: np.ndarray, a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        c, r1, r2, v1, v2 = v / (size - 1), a["off"][:, None], b["off"][None, :], a["var"][:, None], b["var"][None, :]
+        det = v1 * v2 - c * c
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = (r1 * r1 * v2 + r2 * r2 * v1 - 2.0 * r1 * r2 * c) / det
+        return (det != 0) & (distance > critical), distance
+
+    return test
+
+
 def pair_conflict(ens: DataFrame, obs: DataFrame, critical: float = 9.2) -> DataFrame:
-    """Pairs of non-zero observations whose 2-D distance r' C^-1 r exceeds the critical value."""
+    """Pairs of non-zero observations whose 2-D distance r' C^-1 r exceeds the critical value; tested inside the tiles."""
     o = obs.where(F.col("weight") > 0).select(F.col("obsnme").alias("name"), "obsval")
     sim = ens.join(o.select("name"), "name", "left_semi")
-    facts = sim.groupBy("name").agg(F.avg("value").alias("_m"), F.var_samp("value").alias("_v")).join(o, "name").select(
-        "name", (F.col("_m") - F.col("obsval")).alias("_r"), "_v")
-    side = lambda c, i: facts.select(F.col("name").alias(c), F.col("_r").alias(f"_r{i}"), F.col("_v").alias(f"_v{i}"))
-    t = covariance(sim).where(F.col("row") < F.col("col")).join(side("row", 1), "row").join(side("col", 2), "col")
-    det = F.col("_v1") * F.col("_v2") - F.col("v") * F.col("v")
-    dist = F.try_divide(
-        F.col("_r1") * F.col("_r1") * F.col("_v2") + F.col("_r2") * F.col("_r2") * F.col("_v1")
-        - 2.0 * F.col("_r1") * F.col("_r2") * F.col("v"), det)
-    return t.select(F.col("row").alias("obsnme_1"), F.col("col").alias("obsnme_2"), dist.alias("sq_distance")).where(
-        F.col("sq_distance") > critical)
+    facts = sim.groupBy("name").agg(F.avg("value").alias("_m"), F.var_samp("value").alias("var")).join(o, "name").select(
+        "name", (F.col("_m") - F.col("obsval")).alias("off"), "var")
+    size = sim.agg(F.count_distinct("real")).collect()[0][0]
+    rows = deviations(sim).join(facts, "name").select(F.col("name").alias("row"), F.col("real").alias("k"), F.col("value").alias("v"), "off", "var")
+    hits = gram_hits(rows, _conflict(size, critical), extra=("off", "var"))
+    return hits.select(F.col("row").alias("obsnme_1"), F.col("col").alias("obsnme_2"), F.col("v").alias("sq_distance"))
 
 
 # Jacobian tables ``(obs, par, v)`` -------------------------------------------
@@ -261,10 +408,16 @@ def composite_observation_sensitivity(jac: DataFrame, obs: DataFrame) -> DataFra
     return q.groupBy("obs").agg((F.sqrt(F.sum(F.col("_q") * F.col("_q"))) / (npar - 1)).alias("cso"))
 
 
-def observation_competition(jac: DataFrame, obs: DataFrame) -> DataFrame:
-    """w1 w2 sum_par(j1 j2) for every pair of non-zero observations (each pair once); diagonal 0."""
+def observation_competition(jac: DataFrame, obs: DataFrame, least: float | None = None) -> DataFrame:
+    """w1 w2 sum_par(j1 j2) of non-zero observations, each pair once.
+
+    With ``least``, only pairs (row < col) whose value has that magnitude; tiles that cannot hold one are not formed. Without it every
+    pair that shares a parameter is a row, and the diagonal is 0.
+    """
     w = obs.where(F.col("weight") > 0).select(F.col("obsnme").alias("obs"), "weight")
     q = jac.join(w, "obs").select(F.col("obs").alias("row"), F.col("par").alias("k"), (F.col("v") * F.col("weight")).alias("v"))
+    if least is not None:
+        return gram_hits(q, lambda v, a, b: (np.abs(v) >= least, v), least, dense=False)
     pairs = gram_product(q)
     return pairs.withColumn("v", F.when(F.col("row") == F.col("col"), F.lit(0.0)).otherwise(F.col("v")))
 

@@ -77,6 +77,14 @@ def ties(spark, d):
     return X.correlation_equations(X.covariance(ensemble(spark, d)), pars, 0.02).withColumn("weight", rnd("weight", 8))
 
 
+@check("N7_ties_from_ensemble", with_ctes("ensemble") + f"""
+SELECT 'pcc_' || a.name || '_' || b.name AS pilbl, {q_rnd('corr(a.value, b.value)', 8)} AS weight
+FROM ensemble a JOIN ensemble b ON a.real = b.real AND a.name < b.name GROUP BY a.name, b.name HAVING corr(a.value, b.value) >= 0.05""")
+def ties_from_ensemble(spark, d):
+    pars = observations(spark, d).select(F.col("obsnme").alias("parnme"), F.lit("none").alias("partrans"))
+    return X.tie_equations(X.correlated_pairs(ensemble(spark, d), 0.05), pars).select("pilbl", rnd("weight", 8).alias("weight"))
+
+
 @check("N21_pair_conflict", with_ctes("cov", "observations") + f"""
 , f AS (SELECT name, avg(value) - max(obsval) * 4 AS r, var_samp(value) AS v, max(weight) AS w FROM ensemble JOIN observations ON obsnme = name GROUP BY 1),
 p AS (SELECT row AS obsnme_1, col AS obsnme_2, (a.r * a.r * b.v + b.r * b.r * a.v - 2 * a.r * b.r * c.v) / (a.v * b.v - c.v * c.v) AS sq
@@ -111,6 +119,13 @@ def competition(spark, d):
     return X.observation_competition(jacobian(spark, d), jac_obs(spark, d)).withColumn("v", sig("v"))
 
 
+@check("N23_strong_competition", with_ctes("jac", "jobs") + f"""
+, q AS (SELECT jac.obs, par, v * weight AS v FROM jac JOIN jobs ON jobs.obs = jac.obs WHERE weight > 0)
+SELECT a.obs AS row, b.obs AS col, {q_sig('sum(a.v * b.v)')} AS v FROM q a JOIN q b ON a.par = b.par AND a.obs < b.obs GROUP BY a.obs, b.obs HAVING abs(sum(a.v * b.v)) >= 1000""")
+def strong_competition(spark, d):
+    return X.observation_competition(jacobian(spark, d), jac_obs(spark, d), 1000.0).withColumn("v", sig("v"))
+
+
 def _a(spark, d):
     return jacobian(spark, d).select(F.col("obs").alias("row"), F.col("par").alias("col"), "v")
 
