@@ -35,6 +35,7 @@ MOST_WORDS = 1_000_000  # words a task has ids for
 LEAST_BITS, MOST_BITS = 16, 30  # of a filter: 8 kB to 128 MB
 BUCKET_BITS = 23  # word pairs are first counted in so many buckets, a byte each
 CHUNK_BITS = 20
+TOP_PARTS = 256  # of a language, each of which sends at most the wanted rows
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -522,8 +523,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, cover: int
         .join(totals.withColumnRenamed("total", "n"), "lang")
     )
     lowest = scored.withColumn("score", strength("a", "n", "l", "r")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
     rows = lowest.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
-    # filtered by the plain number, so that each partition sends no more than it
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each part of a language meet, so the last sort takes a bounded number of rows, however many phrases there are
+    part = F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))
+    best = rows.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
