@@ -76,3 +76,28 @@ def test_flow_class_rules(spark):
     df = spark.createDataFrame(rows, "q double, ri double, hl int").withColumn(
         "c", regime.flow_class(F.col("q"), F.col("ri"), F.col("hl"), F.lit(1.0)))
     assert [r["c"] for r in df.collect()] == [1, 2, 3, 5, 4, -1, -1, 0]
+
+
+def test_ranks_and_thresholds_with_ties_over_many_ranges(spark):
+    """A gauge that holds most of the rows, few distinct flows, missing and negative days."""
+    rng = np.random.default_rng(4)
+    start = np.datetime64("1990-01-01")
+    sizes = {"hot": 4000, "small": 30, "one": 1, "dry": 20}
+    rows = []
+    for loc, n in sizes.items():
+        for i in range(n):
+            q = float(rng.integers(-1, 12)) if loc != "dry" else 0.0
+            rows.append((loc, str(start + i), None if q == 3 else 5.0 if loc == "one" else q))
+    df = spark.createDataFrame(rows, "loc string, day string, discharge double").withColumn("day", F.to_date("day"))
+    got = {(r["loc"], str(r["day"])): r for r in regime.with_ranks(df).collect()}
+    assert len(got) == len(rows)
+    for loc in sizes:
+        down = sorted(((q, day) for x, day, q in rows if x == loc and q is not None and q > 0), reverse=True)
+        place = {day: i + 1 for i, (_, day) in enumerate(down)}
+        up = [q for q, _ in reversed(down)]
+        cuts = [up[int(np.rint((len(up) - 1) * p))] if up else None for p in (0.1, 0.5, 0.75)]
+        for x, day, _ in rows:
+            if x == loc:
+                r = got[(loc, day)]
+                assert r["rank"] == place.get(day) and r["n_positive"] == (len(down) if day in place else None)
+                assert [r["p10"], r["median"], r["p75"]] == cuts
