@@ -2,10 +2,12 @@
 
 One pass over the texts finds the spans of the fixed formats and all candidates: runs of 12 or more credential characters.
 The fixed-format values are the labelled credentials. Per kind, a prefix tree of their character classes is built and
-statistically compatible states are merged (Hoeffding bound), which gives a probabilistic automaton. Every candidate gets
-its likelihood per character under the best automaton, against the character frequencies of all candidates; those that
-look like labelled credentials do, become spans of the kind ``format``. A candidate is scored whole; where it is none, the parts
-between its dots are scored, so that a full stop or a name before a credential does not hide it.
+statistically compatible states are merged (Hoeffding bound), which gives a probabilistic automaton; the chance to end and the
+lengths of the credentials belong to it. Every candidate gets its likelihood per step under each automaton, alone and against a
+chain of character classes that is counted over all candidates. Those for which both are as high as for nineteen in twenty
+held-out credentials of a kind become spans of the kind ``format``: plain words fail the second, numbers of another length the
+first. A candidate is scored whole; where it is none, the parts between its dots are scored, so that a full stop or a name before
+a credential does not hide it.
 """
 
 from __future__ import annotations
@@ -82,6 +84,7 @@ class Automaton:
     edges: list[dict[str, int]] = field(default_factory=list)
     through: list[dict[str, int]] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
+    lengths: dict[int, int] = field(default_factory=dict)
 
     @classmethod
     def infer(cls, words: Iterable[str], alpha: float = 0.05) -> "Automaton":
@@ -89,6 +92,7 @@ class Automaton:
         tree = cls([{}], [{}], [0])
         for word in words:
             at = 0
+            tree.lengths[len(word)] = tree.lengths.get(len(word), 0) + 1
             for c in symbols(word):
                 tree.through[at][c] = tree.through[at].get(c, 0) + 1
                 if c not in tree.edges[at]:
@@ -117,7 +121,7 @@ class Automaton:
         number = {s: i for i, s in enumerate(settled)}
         return cls(
             [{c: number[t] for c, t in tree.edges[s].items()} for s in settled], [tree.through[s] for s in settled],
-            [tree.ends[s] for s in settled],
+            [tree.ends[s] for s in settled], tree.lengths,
         )
 
     def _count(self, s: int) -> int:
@@ -153,46 +157,79 @@ class Automaton:
                     self.edges[into][c] = self.edges[state][c]
 
     def log_likelihood(self, word: str) -> float:
-        """Mean natural log-likelihood per step; what was never seen has one half of a count."""
-        at, total, steps = 0, 0.0, 0
-        for c in symbols(word):
+        """Mean natural log-likelihood per step, the end and the length counted as one; what was never seen has one half of a count."""
+        at, total, own = 0, 0.0, symbols(word)
+        for c in own:
             n = self._count(at) + 1.0
             total += math.log(self.through[at].get(c, 0.5) / n)
-            steps += 1
             if c not in self.edges[at]:
-                return (total + 2 * math.log(0.5 / n)) / steps
+                # no way on: the end is as unlikely as this step, twice
+                total += 2 * math.log(0.5 / n)
+                break
             at = self.edges[at][c]
-        return total / max(1, steps)
+        else:
+            total += math.log((self.ends[at] or 0.5) / (self._count(at) + 1.0))
+        total += math.log((self.lengths.get(len(word), 0) + 0.5) / (sum(self.lengths.values()) + 1.0))
+        return total / (len(own) + 1)
+
+
+#: Start and end of a candidate in the chain of classes; neither is a credential character.
+START, END = "^", "$"
+
+
+@dataclass
+class Background:
+    """A chain of character classes with start and end, counted over all candidates."""
+
+    pairs: dict[str, int]
+
+    def __post_init__(self):
+        self.from_class: dict[str, int] = {}
+        for pair, n in self.pairs.items():
+            self.from_class[pair[0]] = self.from_class.get(pair[0], 0) + n
+
+    def log_likelihood(self, word: str) -> float:
+        chain = START + symbols(word) + END
+        steps = [math.log((self.pairs.get(chain[i: i + 2], 0) + 0.5) / (self.from_class.get(chain[i], 0) + 6.0)) for i in range(len(chain) - 1)]
+        return sum(steps) / len(steps)
 
 
 @dataclass
 class Formats:
-    """Automata of the kinds, the class frequencies of all candidates, and the score a credential reaches."""
+    """Automata of the kinds, the chain of all candidates, and the least likelihood and ratio of each kind."""
 
     automata: list[Automaton]
-    background: dict[str, float]
-    unseen: float
-    threshold: float
-
-    def score(self, word: str) -> float:
-        """Log-likelihood ratio per character, best automaton against the background."""
-        if not self.automata or not word:
-            return -math.inf
-        own = symbols(word)
-        plain = sum(self.background.get(c, self.unseen) for c in own) / len(own)
-        return max(a.log_likelihood(word) for a in self.automata) - plain
+    background: Background
+    least: list[tuple[float, float]] = field(default_factory=list)
+
+    def calibrate(self, held: list[list[str]]) -> None:
+        """39 in 40 held-out credentials of a kind reach its likelihood and as many its ratio (at least 0), so 38 in 40 reach both."""
+        for automaton, words in zip(self.automata, held):
+            own = sorted(automaton.log_likelihood(w) for w in words)
+            ratio = sorted(automaton.log_likelihood(w) - self.background.log_likelihood(w) for w in words)
+            self.least.append((own[len(own) // 40], max(0.0, ratio[len(ratio) // 40])))
+
+    def accepts(self, word: str) -> bool:
+        plain = None
+        for automaton, (own, ratio) in zip(self.automata, self.least):
+            likelihood = automaton.log_likelihood(word)
+            if likelihood >= own:
+                plain = self.background.log_likelihood(word) if plain is None else plain
+                if likelihood - plain >= ratio:
+                    return True
+        return False
 
     def spans(self, start: int, run: str, covered: Covered) -> list[tuple[int, int]]:
-        """The run if it reaches the threshold, else those of its parts between dots that do.
+        """The run if it is accepted, else those of its parts between dots that are.
 
-        Credentials of one fixed form all have one score, which is then the threshold.
+        Credentials of one fixed form all have one likelihood, which is then the least one.
         """
-        if self.score(run) >= self.threshold:
+        if self.accepts(run):
             return [(start, start + len(run))]
         if "." not in run:
             return []
         parts = [(start + m.start(), start + m.end(), m[0]) for m in PART.finditer(run)]
-        return [(a, b) for a, b, part in parts if not covered.inside(a, b) and self.score(part) >= self.threshold]
+        return [(a, b) for a, b, part in parts if not covered.inside(a, b) and self.accepts(part)]
 
 
 SCAN = "base array<struct<start:int,kind:int,stop:int,word:string>>, cand array<struct<start:int,word:string>>"
@@ -221,7 +258,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def learn_formats(found: DataFrame, per_kind: int = PER_KIND) -> Formats:
-    """Automata from at most ``per_kind`` distinct credentials of each kind; character classes from all candidates."""
+    """Automata from at most ``per_kind`` distinct credentials of each kind; the chain of classes from all candidates."""
     words = found.select(F.explode("base").alias("b")).select("b.kind", "b.word")
     rows = []
     for kind in range(len(KINDS)):
@@ -231,16 +268,11 @@ def learn_formats(found: DataFrame, per_kind: int = PER_KIND) -> Formats:
     held = [some[1::2] for some in rows if len(some) >= MIN_CREDENTIALS]
     plain = found.select(F.explode("cand.word").alias("w"))
     classes = F.translate("w", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 10 + "a" * 6 + "g" * 20 + "A" * 26)
-    counts = {r["c"]: r["n"] for r in plain.select(F.explode(F.split(classes, "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values()) + 40.0
-    formats = Formats(automata, {c: math.log((n + 1) / total) for c, n in counts.items()}, -math.log(total), math.inf)
-    if automata:
-        # held-out credentials decide: nine in ten of each kind are above
-        marks = []
-        for a, some in zip(automata, held):
-            own = sorted(formats.score(w) for w in some)
-            marks.append(own[len(own) // 10])
-        formats.threshold = max(0.0, min(marks))
+    chain = plain.select(F.concat(F.lit(START), classes, F.lit(END)).alias("c"))
+    steps = F.transform(F.sequence(F.lit(1), F.length("c") - 1), lambda i: F.substring(F.col("c"), i, F.lit(2)))
+    counts = chain.select(F.explode(steps).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).collect()
+    formats = Formats(automata, Background({r["pair"]: r["n"] for r in counts}))
+    formats.calibrate(held)
     return formats
 
 
