@@ -63,7 +63,11 @@ class KDTree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> None:
         """Merges each query's best into ``best``: heaps of (score, -id), the kth on top."""
-        bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        above, below = self.high.T.astype("<f8"), self.low.T.astype("<f8")
+        bounds = np.maximum(queries, 0).astype("<f8") @ above + np.minimum(queries, 0).astype("<f8") @ below
+        if queries.dtype.kind == "i":
+            # integer scores may pass what a double holds exactly; the bounds are doubles and take the rounding on top
+            bounds += 1e-12 * (np.abs(queries).astype("<f8") @ np.maximum(np.abs(above), np.abs(below))) + 1
         for q in range(len(query_ids)):
             heap, bound, own = best[q], bounds[q], query_ids[q]
             todo = [(-bound[0], 0)]
@@ -90,8 +94,8 @@ class KDTree:
                         heapq.heapreplace(heap, entry)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a, dtype="<f8").tobytes()
+def _pack(a: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(a, dtype=kind).tobytes()
 
 
 def top_k(
@@ -102,7 +106,8 @@ def top_k(
     Components become ``floor(scale * x)``, ``x`` as double, the score is their inner product, ties go to the smaller id. A row
     is no candidate of a query with its own id. Vectors that are NULL or hold NULL or non-finite components, and rows without
     id, take no part. Shorter vectors count as filled with zeros. A query id that occurs with several vectors gets the best
-    scores of any of them; a repeated candidate takes several ranks. Products must stay below 2^53, else an error says so.
+    scores of any of them; a repeated candidate takes several ranks. Products that may pass 2^53 are summed as 64-bit integers; where a score might not fit into those, an
+    error says so.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -115,13 +120,15 @@ def top_k(
     if not about["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = about["width"]
-    if about["most"] ** 2 * max(width, 1) >= 2.0 ** 53:
-        raise ValueError("inner products of these vectors are not exact in double precision")
+    reach = about["most"] ** 2 * max(width, 1)
+    if reach >= 2.0 ** 63:
+        raise ValueError("inner products of these vectors do not fit into 64 bits")
+    kind = "<f8" if reach < 2.0 ** 53 else "<i8"
     shards = -(-about["n"] // SHARD_ROWS)
     lanes = -(-shards // LANE_SHARDS)
 
     def matrix(column: pa.Array) -> np.ndarray:
-        out = np.zeros((len(column), width))
+        out = np.zeros((len(column), width), dtype=kind)
         for i, v in enumerate(column.to_pylist()):
             out[i, : len(v)] = v
         return out
@@ -134,8 +141,8 @@ def top_k(
         shard = parts[0][2][0].as_py()
         yield pa.RecordBatch.from_pydict({
             "lane": pa.array([shard % lanes], pa.int32()), "ids": pa.array([tree.ids.tobytes()], pa.binary()),
-            "points": pa.array([_pack(tree.points)], pa.binary()), "nodes": pa.array([np.array([tree.first, tree.stop, tree.left], dtype="<i8").tobytes()], pa.binary()),
-            "boxes": pa.array([_pack(np.array([tree.low, tree.high]))], pa.binary()),
+            "points": pa.array([_pack(tree.points, kind)], pa.binary()), "nodes": pa.array([np.array([tree.first, tree.stop, tree.left], dtype="<i8").tobytes()], pa.binary()),
+            "boxes": pa.array([_pack(np.array([tree.low, tree.high]), kind)], pa.binary()),
         })
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def top_k(
                 some = b.slice(at, BLOCK_QUERIES)
                 yield pa.RecordBatch.from_pydict({
                     "ids": pa.array([some.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                    "points": pa.array([_pack(matrix(some.column(1)))], pa.binary()),
+                    "points": pa.array([_pack(matrix(some.column(1)), kind)], pa.binary()),
                 })
 
     trees = cut_lineage(
@@ -163,13 +170,13 @@ def top_k(
         out = []
         for q in query_rows.itertuples():
             query_ids = np.frombuffer(q.ids, dtype="<i8")
-            queries = np.frombuffer(q.points, dtype="<f8").reshape(len(query_ids), width)
+            queries = np.frombuffer(q.points, dtype=kind).reshape(len(query_ids), width)
             best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
             for t in tree_rows.itertuples():
                 ids = np.frombuffer(t.ids, dtype="<i8")
                 nodes = np.frombuffer(t.nodes, dtype="<i8").reshape(3, -1)
-                boxes = np.frombuffer(t.boxes, dtype="<f8").reshape(2, nodes.shape[1], width)
-                points = np.frombuffer(t.points, dtype="<f8").reshape(len(ids), width)
+                boxes = np.frombuffer(t.boxes, dtype=kind).reshape(2, nodes.shape[1], width)
+                points = np.frombuffer(t.points, dtype=kind).reshape(len(ids), width)
                 KDTree(ids, points, *nodes, *boxes).search(query_ids, queries, best, k)
             out += [(int(i), -e[1], int(e[0])) for i, heap in zip(query_ids, best) for e in heap]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -199,6 +200,19 @@ def test_top_k(spark):
     assert kdtree.top_k(vectors.limit(0)).count() == 0
 
 
+def test_products_beyond_doubles(spark):
+    """Scores near 2^60 that differ by less than a double can tell."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(2 ** 19 + int(x)) + 1 / 1024 for x in rng.integers(0, 4, 3)]) for i in range(400)]
+    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    whole = {i: [int(1024 * x) for x in v] for i, v in rows}
+    for q in range(0, 400, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    with pytest.raises(ValueError):
+        kdtree.top_k(spark.createDataFrame([(0, [1e13])], "vec_id long, embedding array<double>"))
+
+
 def test_few_vectors(spark):
     vectors = spark.createDataFrame([(0, [1.0]), (100, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in kdtree.top_k(vectors).collect()) == [(0, 1, 100, 2 * 1024 * 1024), (100, 1, 0, 2 * 1024 * 1024)]
