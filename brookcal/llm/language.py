@@ -40,24 +40,26 @@ def _letters() -> np.ndarray:
 
 def ngram_counts(text: str) -> np.ndarray | None:
     """Counts of hashed 1- to 3-grams of the letters and gaps of a text; None if it has no letter."""
-    counts = None
+    counts, found = np.zeros(DIMENSION, dtype=np.int64), False
+    gap = [np.uint32(32)]
     for at in range(0, len(text), CHUNK):
         part = text[max(0, at - 2): at + CHUNK]
-        fresh = min(at, 2)
         points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         c = _letters()[points]
-        if counts is None:
-            if not (c != 32).any():
-                continue
-            counts = np.zeros(DIMENSION, dtype=np.int64)
-        c = np.concatenate(([np.uint32(32)], c, [np.uint32(32)])) if at == 0 else c
+        found = found or bool((c != 32).any())
+        first, last = at == 0, at + CHUNK >= len(text)
+        if last and not found:
+            return None
+        # a gap before and after the text; what a chunk repeats of the one before is not counted again
+        fresh = 0 if first else min(at, 2) + (at == 1)
+        c = np.concatenate((gap if first or at == 1 else [], c, gap if last else [])).astype(np.uint32)
         one = c * _MIX[0]
         two = one[:-1] ^ (c[1:] * _MIX[1] + np.uint32(1))
         three = two[:-1] ^ (c[2:] * _MIX[2] + np.uint32(2))
         for h, skip in ((one, fresh), (two, max(0, fresh - 1)), (three, 0)):
             h = h[skip:]
             counts += np.bincount((h ^ (h >> np.uint32(15))) * _MIX[0] >> np.uint32(32 - BITS), minlength=DIMENSION)
-    return counts
+    return counts if found else None
 
 
 @dataclass
