@@ -4,8 +4,9 @@ Two fingerprints at most ``k`` bits apart share a word of the Hamming space that
 distinct fingerprint emits all its variants within that radius, variants are shuffled, and fingerprints that meet are linked.
 
 Variants are not shuffled one by one. The space is cut into the cosets of a linear code: a variant's slice is the syndrome of
-its bits, so a slice's owner can tell from a fingerprint which of its variants lie in the slice. A fingerprint is sent to
-the slices that hold variants of it, eight bytes each, and expands there, one bounded part of the slice at a time.
+its bits, so a slice's owner can tell from a fingerprint which of its variants lie in the slice. The syndrome holds the parity
+of each group of positions, so flipping two bits moves a variant to a slice at most two bits off: of 256 slices a fingerprint
+reaches 37. It is sent to these, eight bytes each, and expands there, one bounded part of the slice at a time.
 
 All members of one variant are linked to the smallest one that came within the smaller radius: a star, never all pairs. By
 the triangle inequality every such link is within ``k`` bits, and every linked pair meets at some variant, so the components
@@ -21,13 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookcal.session import cut_lineage
 
 #: Fingerprints that one slice may receive before the space is cut into more slices; 8 bytes each.
-SLICE_FINGERPRINTS = 32_000_000
+SLICE_FINGERPRINTS = 8_000_000
+#: Copies of fingerprints that are dealt to slices at a time.
+DEALT = 500_000
+#: A key is hot if it holds more than this part of all rows.
+HOT_PART = 0.01
 #: Variants expanded at a time.
 EXPANDED = 1_000_000
 LEAST_BITS = 8
@@ -51,9 +56,15 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     return int(sum(1 << i for i in np.flatnonzero(ones * 2 > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, fingerprint`` (signed 64-bit) per row; ``digest`` is a hash of the text. Other columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+def fingerprints(
+    docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None,
+) -> DataFrame:
+    """``doc_id, digest, fingerprint`` (signed 64-bit) per row; ``digest`` is a hash of the text unless another is given.
+
+    Other columns are ignored.
+    """
+    digest = F.xxhash64(text_col) if digest is None else digest
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,6 +78,16 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return rows.mapInArrow(scan, f"doc_id {id_type}, digest long, fingerprint long")
 
 
+def _group_columns(bits: int) -> np.ndarray:
+    """Syndromes of the 64 single bits by which slices are cut: position ``i`` counts for the parity of group ``i % bits``."""
+    return 1 << (np.arange(64) % bits)
+
+
+def _reach(radius: int, bits: int) -> np.ndarray:
+    """Differences between a fingerprint's own slice and those that hold variants of it."""
+    return np.unique(_syndromes(_ball(radius)[0], _group_columns(bits)))
+
+
 def _syndrome_columns(bits: int) -> np.ndarray:
     """Fixed pseudo-random syndromes of the 64 single bits, distinct and not zero."""
     seen: list[int] = []
@@ -114,10 +135,10 @@ def _slice_links(prints: np.ndarray, distance: int, bits: int, slice_id: int) ->
     prints = np.unique(prints)
     low, high = distance // 2, distance - distance // 2
     masks, weights = _ball(high)
-    finer = 0
-    while len(prints) * len(masks) >> (bits + finer) > EXPANDED and finer < 20:
+    finer, variants_each = 0, len(masks) // len(_reach(high, bits)) + 1
+    while len(prints) * variants_each >> finer > EXPANDED and finer < 20:
         finer += 1
-    columns = _syndrome_columns(bits)
+    columns = _group_columns(bits)
     more = _syndrome_columns(finer) if finer else np.zeros(64, dtype=np.int64)
     columns = columns | (more << bits)
     own, of_mask = _syndromes(prints, columns), _syndromes(masks, columns)
@@ -179,16 +200,15 @@ def _lots(batches: Iterator[pa.RecordBatch], least: int = 10_000) -> Iterator[np
 
 def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
     """Links ``a, b`` over the column ``fingerprint`` of distinct rows whose components are those of the distance graph."""
-    count = distinct.count()
-    ball = len(_ball(distance - distance // 2)[0])
+    count, high = distinct.count(), distance - distance // 2
     bits = LEAST_BITS
-    while count * min(1.0, ball / (1 << bits)) > SLICE_FINGERPRINTS:
+    while bits < 48 and count * len(_reach(high, bits)) >> bits > SLICE_FINGERPRINTS:
         bits += 1
-    slices, columns = 1 << bits, _syndrome_columns(bits)
-    reach = np.unique(_syndromes(_ball(distance - distance // 2)[0], columns))
+    slices, columns, reach = 1 << bits, _group_columns(bits), _reach(high, bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for prints in _lots(batches):
+        step = max(1, DEALT // len(reach))
+        for prints in (lot[at: at + step] for lot in _lots(batches) for at in range(0, len(lot), step)):
             own = _syndromes(prints, columns)
             order = np.argsort(own, kind="stable")
             prints, (values, first) = prints[order], np.unique(own[order], return_index=True)
@@ -201,16 +221,16 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(targets), pa.array(packed, pa.binary())], names=["slice", "packed"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrived: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                arrived.setdefault(s, []).append(x)
-        for s in sorted(arrived):
-            for a, b in _slice_links(np.frombuffer(b"".join(arrived.pop(s)), dtype=np.uint64), distance, bits, s):
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for s, arrived in itertools.groupby(rows, key=lambda row: row[0]):
+            prints = np.frombuffer(b"".join(x for _, x in arrived), dtype=np.uint64)
+            for a, b in _slice_links(prints, distance, bits, s):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     dealt = distinct.select("fingerprint").mapInArrow(deal, "slice long, packed binary")
-    return dealt.repartition(slices, "slice").mapInArrow(meet, "a long, b long").distinct()
+    # a task takes its slices in turn and holds one of them
+    tasks = min(slices, max(1 << LEAST_BITS, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(tasks, "slice").sortWithinPartitions("slice").mapInArrow(meet, "a long, b long").distinct()
 
 
 def component_roots(links: DataFrame) -> DataFrame:
@@ -241,8 +261,20 @@ def component_roots(links: DataFrame) -> DataFrame:
     )
 
 
+def _with_values(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` next to the one row that ``values`` has for their ``key``; its column ``n`` counts the rows of the key.
+
+    Rows of hot keys, fewer than ``1 / HOT_PART`` keys, meet a broadcast of those keys where they are; only the others are shuffled.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot, plain = values.where(F.col("n") > total * HOT_PART), values.where(F.col("n") <= total * HOT_PART)
+    keys = [r[0] for r in hot.select(key).collect()]  # at most 1 / HOT_PART
+    is_hot = F.col(key).isin(keys) if keys else F.lit(False)
+    return rows.where(is_hot).join(F.broadcast(hot.drop("n")), key).unionByName(rows.where(~is_hot).join(plain.drop("n"), key))
+
+
 def near_duplicates(
-    docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None,
 ) -> DataFrame:
     """``doc_id, digest, fingerprint, root, component_id`` for every row of ``docs``.
 
@@ -250,29 +282,35 @@ def near_duplicates(
     component has none). Texts without words, NULL included, share the fingerprint zero and are linked like any other; a
     text shorter than a shingle is one shingle. Repeated rows come back as often as they occur. No rows give no rows.
     """
-    rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
+    rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col, digest))
+    nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = component_roots(fingerprint_links(nodes, distance))
-    nodes = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"),
+    # fingerprints without links are components of their own
+    nodes = cut_lineage(nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").drop("node"))
+    alone, linked = nodes.where("root IS NULL"), nodes.where("root IS NOT NULL")
+    named = cut_lineage(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    linked = _with_values(linked.withColumnRenamed("n", "copies"), named, "root")
+    labels = alone.select("fingerprint", F.col("fingerprint").alias("root"), F.col("first_id").alias("component_id"), "n").unionByName(
+        linked.select("fingerprint", "root", "component_id", F.col("copies").alias("n"))
     )
-    named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = nodes.drop("first_id").join(named, "root")
-    return rows.join(labels, "fingerprint").select("doc_id", "digest", "fingerprint", "root", "component_id")
+    return _with_values(rows, cut_lineage(labels), "fingerprint").select("doc_id", "digest", "fingerprint", "root", "component_id")
 
 
 def keep_first(
     docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row of ``docs`` per component: the one with the smallest id (NULL last), then the smallest hash of its text."""
-    found = near_duplicates(docs, distance, shingle, id_col, text_col)
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    firsts = found.groupBy("root").agg(F.min(rank).alias("first"))
-    firsts = cut_lineage(firsts.select(F.col("first.doc_id").alias("x_id"), F.col("first.digest").alias("x_digest")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"))
+    """One row of ``docs`` per component: the one with the smallest id (NULL last), then the smallest hash of its columns."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    digest = F.xxhash64(text_col, *([F.to_json(F.struct(*rest))] if rest else []))
+    found = near_duplicates(docs, distance, shingle, id_col, text_col, digest)
+    equal = found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")
+    firsts = equal.groupBy("root").agg(F.min(rank).alias("first"))
+    firsts = cut_lineage(firsts.select(F.col("first.doc_id").alias("x_id"), F.col("first.digest").alias("x_digest"), "first.n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), digest.alias("digest"))
     kept = rows.join(
         firsts, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("digest") == F.col("x_digest")), "left_semi",
-    ).select("row.*")
-    if kept.select(F.lit(1)).count() > firsts.count():  # rows that occur twice
-        kept = kept.dropDuplicates([id_col, text_col])
-    return kept
+    )
+    if firsts.where("n > 1").limit(1).count():  # rows that are equal in all columns
+        kept = kept.dropDuplicates(["doc_id", "digest"])
+    return kept.select("row.*")

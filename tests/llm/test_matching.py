@@ -93,6 +93,31 @@ def test_one_of_each_group_stays(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+def test_a_fingerprint_reaches_few_slices():
+    assert len(simhash._reach(2, 8)) == 37
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    masks, columns = simhash._ball(2)[0], simhash._group_columns(8)
+    slices = simhash._syndromes((prints[:, None] ^ masks[None, :]).ravel(), columns).reshape(50, -1)
+    reached = simhash._syndromes(prints, columns)[:, None] ^ simhash._reach(2, 8)[None, :]
+    assert all(set(a) == set(b) for a, b in zip(slices.tolist(), reached.tolist()))
+
+
+def test_values_reach_the_rows_of_hot_and_plain_keys(spark):
+    counts = {0: 500, 1: 40, **{k: 1 for k in range(2, 300)}}
+    rows = spark.createDataFrame([(k,) for k, n in counts.items() for _ in range(n)], "key long")
+    values = spark.createDataFrame([(k, n, k * 7) for k, n in counts.items()], "key long, n long, value long")
+    got = Counter((r["key"], r["value"]) for r in simhash._with_values(rows, values, "key").collect())
+    assert got == Counter({(k, k * 7): n for k, n in counts.items()})
+
+
+def test_rows_that_differ_elsewhere_leave_one_whatever_the_partitions(spark):
+    rows = [(1, "one and the same text of six words", c) for c in "abcdefgh"] + [(2, "something else", "z"), (2, "something else", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(tuple, simhash.keep_first(docs.repartition(n, "source")).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2]
+
+
 def brute_contamination(text, items, window=10):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
