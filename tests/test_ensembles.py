@@ -185,3 +185,32 @@ def test_chunks_of_the_inner_dimension_add_up(spark):
     got = {(r["row"], r["col"]): r["v"] for r in X.gram_product(rows, tile=3, inner=2).collect()}
     want = {(f"r{i}", f"r{j}"): float(m[:, i] @ m[:, j]) for i in range(7) for j in range(i, 7) if (m[:, i] * m[:, j]).any()}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_large_ensembles_are_solved_in_observation_space(spark, monkeypatch):
+    """The same results as in realization space; ensembles of more realizations than one task solves for were refused."""
+    x, df = _ens(spark, n=14, names=8)
+    groups = spark.createDataFrame([("g1", "o00"), ("g1", "o01"), ("g1", "o02"), ("g2", "o03"), ("g2", "o07")], "group string, name string")
+    noise = spark.createDataFrame([(f"o{j:02d}", 0.5 + j) for j in range(8)], "name string, var double")
+    # one prediction is an observation too, one realization lacks a name
+    preds = spark.createDataFrame([("o06",), ("o07",)], "name string")
+    some = df.where("real <> '3' OR name <> 'o01'")
+    obs = spark.createDataFrame([(f"o{j:02d}", float(x[:, j].mean() + j), 1.0, f"g{j % 2}") for j in range(8)], "obsnme string, obsval double, weight double, obgnme string")
+    runs = some.withColumn("run", F.lit("a")).unionByName(some.where("real < '5'").withColumn("run", F.lit("b")))
+
+    def results():
+        std, means = W.posterior_moments(some, groups, noise, preds)
+        apart, _ = W.posterior_moments(runs, groups, noise, preds)
+        return [sorted(tuple(r) for r in t.collect()) for t in (std, means, apart, W.group_conflict(some, obs))]
+
+    want = results()
+    # run b stays in realization space
+    monkeypatch.setattr(W, "IN_REALIZATION_SPACE", 9)
+    monkeypatch.setattr(W, "CHUNK", 4)
+    for w, g in zip(want, results()):
+        assert len(w) == len(g) > 0
+        for a, b in zip(w, g):
+            assert all(np.isclose(p, q, rtol=1e-8, atol=1e-10) if isinstance(p, float) else p == q for p, q in zip(a, b)), (a, b)
+    monkeypatch.setattr(W, "MOST_OBSERVATIONS", 2)
+    with pytest.raises(Exception, match="3 observations of a group"):
+        W.posterior_moments(some, groups, noise, preds)[0].collect()
