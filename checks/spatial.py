@@ -96,8 +96,7 @@ def apply_factors(spark, d):
     from pyspark.sql import Window
 
     t, p = targets(spark, d), points(spark, d)
-    near = t.select("target", "zone", F.col("x").alias("tx"), F.col("y").alias("ty")).join(p, "zone").where(
-        (F.abs(F.col("x") - F.col("tx")) < 20) & (F.abs(F.col("y") - F.col("ty")) < 20))
+    near = G.within_box(t.select("target", "zone", F.col("x").alias("tx"), F.col("y").alias("ty")), p, 20.0, ["zone"])
     w = near.withColumn("w", F.lit(1.0) / F.row_number().over(Window.partitionBy("target").orderBy("name")))
     w = w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("target"))).select("target", "name", "w")
     vals = p.select("name", (F.abs("value") + 1).alias("value"))
