@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,9 +87,10 @@ def plan_mix(
     docs: DataFrame, schedules=repeating_schedules, most: float = 3.0, rows_per_bucket: int = 50_000, id_col: str = "doc_id",
     text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, size, source, source_size, target, taken, positions``, and ``keep`` as the struct ``row``; a row per document.
+    """``doc_id, size, source, source_size, target, taken, offset, positions``, and ``keep`` as the struct ``row``; a row per document.
 
-    ``size`` counts words (NULL and blank texts: 0, they are never taken). ``positions`` holds the training time of each
+    ``size`` counts words (NULL and blank texts: 0, they are never taken). ``offset`` is the place on the source's axis, which
+    documents with words do not share. ``positions`` holds the training time of each
     copy. NULL is a source of its own. Equal rows stand next to each other in the order and may differ in their copies. An
     empty table gives no rows. ``rows_per_bucket`` bounds what is sorted together and has no influence on the result.
     """
@@ -128,7 +129,7 @@ def plan_mix(
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.ceil((F.col("target") - middle) / F.col("source_size")))).otherwise(0)
     placed = placed.withColumn("copies", copies.cast("int"))
     return placed.select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
+        "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "offset",
         F.when(F.col("copies") > 0, F.transform(
             F.sequence(F.lit(0), F.col("copies") - 1), lambda k: _time_of(F.col("offset") + k * F.col("source_size")),
         )).otherwise(F.array().cast("array<double>")).alias("positions"),
@@ -136,10 +137,40 @@ def plan_mix(
     )
 
 
+def _in_order(copies: DataFrame, spark: SparkSession, *ties: str) -> DataFrame:
+    """``copies`` with ``position`` and ``tie``, range-sorted by training position; ``ties`` decide what is left."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartitionByRange(parts, "position", "tie", *ties).sortWithinPartitions("position", "tie", *ties)
+
+
 def mix(docs: DataFrame, schedules=repeating_schedules, most: float = 3.0, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row per taken copy, range-sorted by training position."""
     planned = plan_mix(docs, schedules, most, keep=tuple(docs.columns), **how)
     copies = planned.select("row", F.xxhash64("doc_id").alias("tie"), F.explode("positions").alias("position"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = copies.repartitionByRange(parts, "position", "tie").sortWithinPartitions("position", "tie")
-    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return _in_order(copies, docs.sparkSession).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def mixed_documents(docs: DataFrame, schedules=repeating_schedules, most: float = 3.0, **how) -> DataFrame:
+    """Per document what the mix takes of it: the columns of ``plan_mix``, with ``taken`` from the sorted copies, and ``places``.
+
+    ``places`` are the numbers of its copies in the training order, from 0, in ascending order as ``positions`` are. The mix is
+    range-sorted and numbered as ``mix`` writes it, without the texts.
+    """
+    spark = docs.sparkSession
+    planned = cut_lineage(plan_mix(docs, schedules, most, **how))
+    identity = ["source", "offset"]
+    copies = planned.select(*identity, "size", F.xxhash64("doc_id").alias("tie"), F.explode("positions").alias("position"))
+    ordered = cut_lineage(_in_order(copies, spark, *identity).select(
+        *identity, "size", "position", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    # a task's copies are numbered without gaps from the number of its partition on
+    counts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = ordered.join(F.broadcast(first), "part").withColumn("place", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    found = placed.groupBy(*identity).agg(
+        F.sum("size").alias("taken"), F.sort_array(F.collect_list("place")).alias("places"))
+    found = found.select(F.col("source").alias("_s"), F.col("offset").alias("_o"), F.col("taken").alias("_t"), "places")
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("offset") == F.col("_o")) & (F.col("size") > 0)
+    return planned.join(found, same, "left").select(
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("_t", F.lit(0)).cast("long").alias("taken"), "offset",
+        "positions", F.coalesce("places", F.array().cast("array<long>")).alias("places"))

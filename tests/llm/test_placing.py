@@ -131,3 +131,16 @@ def test_schedules_are_checked():
         mixing.Schedule((0.0, 0.5), (1.0, 1.0))
     with pytest.raises(ValueError):
         mixing.Schedule((0.0, 1.0), (1.0, -1.0))
+
+
+def test_documents_of_the_mix_have_places_in_it(odd, documents, none):
+    assert mixing.mixed_documents(none).count() == 0
+    for docs in (odd, documents):
+        key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
+        rows = mixing.mixed_documents(docs).collect()
+        assert sorted(map(key, rows)) == sorted(map(key, mixing.plan_mix(docs).collect()))
+        assert all(len(r["places"]) == len(r["positions"]) and r["places"] == sorted(r["places"]) for r in rows)
+        order = sorted((place, r["doc_id"], position) for r in rows for place, position in zip(r["places"], r["positions"]))
+        assert [o[0] for o in order] == list(range(len(order)))
+        assert [o[2] for o in order] == sorted(o[2] for o in order)
+    assert [o[1] for o in order] == [r["doc_id"] for r in mixing.mix(documents).collect()]
