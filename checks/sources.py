@@ -13,12 +13,16 @@ from checks.scoring import phi_history
 from checks.views import daily, daily_by_var, ensemble, par_ensemble, parameters, points, read, residuals, with_ctes
 
 BUCKETS = 4
+#: Lines that one task sorts and writes.
+LINES = 200_000
 
 
-def write_files(df, label, bucket="bucket"):
-    """(bucket, ord, value) rows as one ordered text file per bucket."""
+def write_files(df, label, bucket="bucket", files=0):
+    """(bucket, ord, value) rows as one ordered text file per bucket; ``files`` is their number, where it may be large."""
     path = scratch_path(df.sparkSession, label)
-    (df.repartition(bucket).sortWithinPartitions(bucket, "ord").select(bucket, "value")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(max(files, partitions), bucket) if files > BUCKETS else df.repartition(bucket)
+    (dealt.sortWithinPartitions(bucket, "ord").select(bucket, "value")
      .write.partitionBy(bucket).text(path))
     return path
 
@@ -56,11 +60,12 @@ def named_file_writer(path):
 
 
 def spread_lines(spark, body, head, label):
-    """Body lines over four files, each starting with the head lines."""
-    b = body.select(F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.lit(len(head)).alias("o"), "value")
+    """Body lines over four files, or one for each ``LINES`` of them, each starting with the head lines."""
+    files = max(BUCKETS, -(-body.count() // LINES))
+    b = body.select(F.pmod(F.xxhash64("value"), F.lit(files)).cast("int").alias("bucket"), F.lit(len(head)).alias("o"), "value")
     for i, text in enumerate(head):
-        b = b.unionByName(spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(i).alias("o"), F.lit(text).alias("value")))
-    return write_files(b.withColumn("ord", F.struct("o", "value")), label)
+        b = b.unionByName(spark.range(files).select(F.col("id").cast("int").alias("bucket"), F.lit(i).alias("o"), F.lit(text).alias("value")))
+    return write_files(b.withColumn("ord", F.struct("o", "value")), label, files=files)
 
 
 @check("S1_series_scan", with_ctes("daily_by_var") + """

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brookcal.operators import spatial as G
+from checks import sources as S
 
 
 def test_neighbour_search_sends_no_cells_through_the_driver(spark, tmp_path, capsys):
@@ -30,3 +31,12 @@ def test_box_join_meets_each_pair_once(spark):
     points = spark.createDataFrame([(f"p{i}", i % 2, float(x), float(y)) for i, (x, y) in enumerate(b)], "name string, zone int, x double, y double")
     got = sorted((r["target"], r["name"]) for r in G.within_box(targets, points, 7.0, ["zone"]).collect())
     assert got == sorted((f"t{i}", f"p{j}") for i in range(60) for j in range(80) if i % 2 == j % 2 and np.abs(a[i] - b[j]).max() < 7.0)
+
+
+def test_line_files_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(S, "LINES", 10)
+    path = S.spread_lines(spark, spark.range(95).select(F.concat(F.lit("l"), "id").alias("value")), ["head"], "lines")
+    lines = spark.read.text(path)
+    files = lines.groupBy(F.input_file_name()).agg(F.count_if(F.col("value") == "head").alias("n")).collect()
+    assert len(files) == 10 and all(f["n"] == 1 for f in files)
+    assert sorted(r["value"] for r in lines.where("value <> 'head'").collect()) == sorted(f"l{i}" for i in range(95))
