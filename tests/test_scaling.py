@@ -4,7 +4,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brookcal.operators import spatial as G
-from checks import sources as S
 
 
 def test_neighbour_search_sends_no_cells_through_the_driver(spark, tmp_path, capsys):
@@ -34,6 +33,11 @@ def test_box_join_meets_each_pair_once(spark):
 
 
 def test_line_files_grow_in_number(spark, monkeypatch):
+    import checks
+
+    checks.load()
+    from checks import sources as S
+
     monkeypatch.setattr(S, "LINES", 10)
     path = S.spread_lines(spark, spark.range(95).select(F.concat(F.lit("l"), "id").alias("value")), ["head"], "lines")
     lines = spark.read.text(path)
