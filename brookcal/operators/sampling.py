@@ -44,9 +44,10 @@ def parameter_variance(pars: DataFrame, sigma_range: float = 4.0, scale_offset:
         "invalid", F.col("var").isNull() | F.isnan("var") | (F.col("var") == 0))
 
 
-def _realizations(df: DataFrame, n: int) -> DataFrame:
-    """One row per (name, realization); a generator, so nothing is shuffled."""
-    numbered = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1))))
+def _realizations(df: DataFrame, n: int, name: str = "name") -> DataFrame:
+    """One row per (name, realization). The names are dealt out before they are multiplied: a short table may come as one partition,
+    and an aggregate by name then finds its rows in place."""
+    numbered = spread(df, name).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1))))
     return numbered.withColumn("real", F.col("_i").cast("string")).drop("_i")
 
 
@@ -83,18 +84,20 @@ def parameter_draw(
         raise ValueError(f"unknown distribution {default}")
     t = pars.join(how.select("parnme", "how"), "parnme", "left") if how is not None else pars.withColumn("how", F.lit(None).cast("string"))
     t = t.withColumn("how", F.coalesce("how", F.lit(default)))
-    lo, mid, hi = _log(t, "parlbnd"), _log(t, "parval1"), _log(t, "parubnd")
+    # each step is a column of its own: one expression repeats its parts until the JVM no longer compiles its method
+    t = t.withColumns({"_lo": _log(t, "parlbnd"), "_mid": _log(t, "parval1"), "_hi": _log(t, "parubnd")})
+    lo, mid, hi, u = F.col("_lo"), F.col("_mid"), F.col("_hi"), F.col("_u")
     keys = (F.col("real"), F.col("parnme"))
-    u = uniform(seed, *keys)
     drawn = (
         F.when(F.col("how") == "gaussian", mid + (hi - lo) / sigma_range * standard_normal(seed, *keys))
         .when(F.col("how") == "uniform", lo + u * (hi - lo))
         .when(F.col("how") == "triangular", triangular(u, lo, mid, hi))
         .otherwise(F.raise_error(F.lit("unknown distribution")).cast("double"))
     )
+    free = _realizations(t, n, "parnme").withColumn("_u", uniform(seed, *keys)).withColumn("_drawn", drawn).withColumn("_free", _unlog(F.col("_drawn")))
     value = F.when(F.col("partrans").isin("tied", "fixed"), F.col("parval1")).otherwise(
-        clip(_unlog(drawn), F.col("parlbnd"), F.col("parubnd")) if enforce else _unlog(drawn))
-    return _realizations(t, n).select("real", F.col("parnme").alias("name"), value.alias("value"))
+        clip(F.col("_free"), F.col("parlbnd"), F.col("parubnd")) if enforce else F.col("_free"))
+    return free.select("real", F.col("parnme").alias("name"), value.alias("value"))
 
 
 def _rng(seed: int, *labels: str) -> np.random.Generator:
@@ -149,7 +152,7 @@ def ensemble_based_draw(ens: DataFrame, n: int, seed: int, keys: Sequence[str] =
     """
     size = one_row(ens, F.count_distinct("real"))["x0"]
     old = ens.select(F.col("real").alias("k")).distinct()
-    z = _realizations(old, n).select(
+    z = _realizations(old, n, "k").select(
         F.col("real").alias("row"), "k", standard_normal(seed, F.col("real"), F.col("k")).alias("v"))
     dev = deviations(ens).select(F.col("real").alias("k"), F.col("name").alias("col"), F.col("value").alias("v"))
     mean = ens.groupBy("name").agg(F.avg("value").alias("_m"))

@@ -313,10 +313,18 @@ def flat(spark, d):
     out = None
     for how in ("uniform", "triangular"):
         centre = (lo + hi) / 2 if how == "uniform" else (lo + mid + hi) / 3
-        draws = D.parameter_draw(pars, 800, seed=5, default=how).join(known, F.col("parnme") == F.col("name"))
-        t = draws.groupBy("name").agg(
-            F.bool_and(F.col("value").between(F.col("parlbnd"), F.col("parubnd"))).alias("inside"),
-            F.abs(F.avg(space("value") - centre)).alias("_off"), F.max(6 * (hi - lo) / (12 * 800) ** 0.5).alias("_err"),
+        draws = D.parameter_draw(pars, 800, seed=5, default=how)
+        # sums by name come before the join, so that it meets one row a name and not each draw
+        sums = draws.groupBy("name").agg(
+            F.min("value").alias("_least"), F.max("value").alias("_most"),
+            *[f(v).alias(c + k) for k, v in (("_lin", F.col("value")), ("_log", F.log10("value"))) for f, c in ((F.avg, "_a"), (F.count, "_n"))])
+        log = F.col("partrans") == "log"
+        a, n = (F.when(log, F.col(c + "_log")).otherwise(F.col(c + "_lin")) for c in ("_a", "_n"))
+        bounds = (F.col("parlbnd"), F.col("parubnd"))
+        t = sums.join(known, F.col("parnme") == F.col("name")).withColumn("_d", a - centre).groupBy("name").agg(
+            F.bool_and(F.col("_least").between(*bounds) & F.col("_most").between(*bounds)).alias("inside"),
+            F.abs(F.try_divide(F.sum(F.col("_d") * n), F.sum(F.when(F.col("_d").isNotNull(), n)))).alias("_off"),
+            F.max(6 * (hi - lo) / (12 * 800) ** 0.5).alias("_err"),
         ).select(F.lit(how).alias("how"), "name", "inside", (F.col("_off") <= F.col("_err")).alias("mean_ok"))
         out = t if out is None else out.unionByName(t)
     return out

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from brookcal.operators import sampling as D
 from brookcal.operators import spatial as G
 
 
@@ -44,3 +45,12 @@ def test_line_files_grow_in_number(spark, monkeypatch):
     files = lines.groupBy(F.input_file_name()).agg(F.count_if(F.col("value") == "head").alias("n")).collect()
     assert len(files) == 10 and all(f["n"] == 1 for f in files)
     assert sorted(r["value"] for r in lines.where("value <> 'head'").collect()) == sorted(f"l{i}" for i in range(95))
+
+
+def test_draws_of_a_table_in_one_partition_are_spread(spark):
+    pars = spark.createDataFrame(
+        [(f"p{i}", "log" if i % 2 else "none", 2.0, 1.0, 4.0) for i in range(40)], "parnme string, partrans string, parval1 double, parlbnd double, parubnd double").coalesce(1)
+    draws = D.parameter_draw(pars, 50, 3, default="triangular")
+    assert draws.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    again = D.parameter_draw(pars.repartition(5), 50, 3, default="triangular")
+    assert draws.count() == 2000 and draws.exceptAll(again).isEmpty() and draws.where("value NOT BETWEEN 1 AND 4").isEmpty()
