@@ -22,6 +22,8 @@ from brookcal.functions.variograms import Structure
 from brookcal.operators.sampling import observation_variance
 from brookcal.session import cut_lineage, one_row, spread
 
+#: Draws of one chunk, about.
+CHUNK_DRAWS = 2_000_000
 _DOUBLES = pa.list_(pa.float64())
 _FOLDED = pa.schema([
     ("chunk", pa.int32()), ("first", pa.string()), ("first_t", pa.float64()), ("last", pa.string()), ("kind", pa.string()), ("last_t", pa.float64()),
@@ -171,7 +173,9 @@ def noise_draw(
     checked = named.withColumn("t", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("double")).otherwise(F.col("t")))
     placed = base.join(checked, "name")
     order = ("series", "kind", "t", "name")
-    chunks = cut_lineage(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("chunk", F.spark_partition_id()))
+    # a row is small but its draws are not: the number of chunks is set by the draws, or adaptive execution would merge them all
+    count = max(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-series.count() * n // CHUNK_DRAWS))
+    chunks = cut_lineage(placed.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("chunk", F.spark_partition_id()))
     reaches = {k: p[0] for k, p in parts.items()}
     # one row a chunk meets in one task
     folded = chunks.select("chunk", "series", "kind", "t", "name", *drawn).mapInArrow(_fold(reaches, normals, n), _FOLDED_SQL)
@@ -179,11 +183,12 @@ def noise_draw(
     columns = ["chunk", "series", "kind", "t", "name", "mean", "std", "lower", "upper", "kept"]
     rows = chunks.select(*columns).unionByName(states, allowMissingColumns=True)
     # a state stands before the rows of its chunk
-    rows = spread(rows, "chunk").sortWithinPartitions("chunk", F.col("state").isNull(), *order)
+    rows = rows.repartition(count, "chunk").sortWithinPartitions("chunk", F.col("state").isNull(), *order)
     z = [F.when(F.col("state").isNull(), d).alias(c) for d, c in zip(drawn, normals)]
     chained = rows.select(*columns, "state", *z).mapInArrow(_replay(parts, normals, n), _NOISE_SQL)
-    alone = base.join(named, "name", "left_anti").select("name", normals_of(seed, 0, n).alias("noise"), "mean", "std", "lower", "upper", "kept")
-    long = chained.unionByName(alone).select("*", F.posexplode("noise").alias("i", "z"))
+    alone = spread(base.join(named, "name", "left_anti"), "name").select("name", normals_of(seed, 0, n).alias("noise"), "mean", "std", "lower", "upper", "kept")
+    # the outer form: an inner one adds a filter on the size, for which the draws would be made at the scan and once more here
+    long = chained.unionByName(alone).select("*", F.posexplode_outer("noise").alias("i", "z"))
     value = F.col("mean") + F.col("std") * F.col("z")
     if enforce_bounds:
         # greatest and least skip bounds that are not given

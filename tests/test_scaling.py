@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from brookcal.functions.variograms import Structure, Variogram
 from brookcal.operators import sampling as D
 from brookcal.operators import spatial as G
+from brookcal.operators.noise import noise_draw
 
 
 def test_neighbour_search_sends_no_cells_through_the_driver(spark, tmp_path, capsys):
@@ -54,3 +56,14 @@ def test_draws_of_a_table_in_one_partition_are_spread(spark):
     assert draws.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     again = D.parameter_draw(pars.repartition(5), 50, 3, default="triangular")
     assert draws.count() == 2000 and draws.exceptAll(again).isEmpty() and draws.where("value NOT BETWEEN 1 AND 4").isEmpty()
+
+
+def test_noise_of_a_short_table_is_drawn_in_chunks_and_once(spark, capsys):
+    obs = spark.createDataFrame([(f"n{i:02d}", "g", float(i), 1.0 if i % 3 else 0.0) for i in range(60)], "obsnme string, obgnme string, obsval double, weight double").coalesce(1)
+    series = obs.where("weight > 0").select("obsnme", F.lit("s").alias("series"), F.col("obsval").alias("t"))
+    draws = noise_draw(obs, series, Structure((Variogram("exponential", 1.0, 5.0),)), 8, 3)
+    assert draws.rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    capsys.readouterr()
+    draws.explain()
+    assert "size(transform" not in capsys.readouterr().out
+    assert draws.count() == 480
