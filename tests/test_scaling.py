@@ -67,3 +67,22 @@ def test_noise_of_a_short_table_is_drawn_in_chunks_and_once(spark, capsys):
     draws.explain()
     assert "size(transform" not in capsys.readouterr().out
     assert draws.count() == 480
+
+
+def test_products_of_near_points_travel_with_their_blocks(spark):
+    rng = np.random.default_rng(10)
+    xy, z = np.vstack([rng.uniform(0, 90, (70, 2)), np.full((9, 2), 30.0)]), rng.normal(size=(79, 5))
+    rows = [(f"p{i:02d}", i % 2, float(xy[i, 0]), float(xy[i, 1]), [float(v) for v in z[i]]) for i in range(79)]
+    rows += [("twice", 0, 31.0, 30.0, [1.0] * 5), ("twice", 0, 31.0, 30.0, [1.0] * 5), ("gap", 0, 30.0, 31.0, [1.0, None, 1.0, 1.0, 1.0]), ("short", 0, 31.0, 31.0, [2.0])]
+    points = spark.createDataFrame(rows, "name string, zone int, x double, y double, z array<double>")
+    ball = Structure((Variogram("spherical", 2.0, 40.0),), 0.25)
+    pairs = G.point_covariance(points, ball, ["zone"], least=1.0, values="z", most=6)
+    side = lambda c, a: points.select("zone", F.col("name").alias(c), F.col("z").alias(a), F.monotonically_increasing_id().alias(f"{a}i"))
+    whole = G.point_covariance(points.dropDuplicates(["name"]), ball, ["zone"]).where("v >= 1")
+    total = F.aggregate(F.zip_with("a", "b", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    want = whole.join(side("row", "a"), ["zone", "row"]).join(side("col", "b"), ["zone", "col"]).select("zone", "row", "col", F.round("v", 9).alias("v"), F.round(total, 9).alias("product"))
+    got = pairs.select("zone", "row", "col", F.round("v", 9).alias("v"), F.round("product", 9).alias("product"))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert got.where("row = 'gap' OR col = 'gap'").count() > 1 and got.where("row = 'twice' AND col = 'twice'").count() == 4
+    assert ball.support > ball.reach(1.0) > 0 and abs(2.0 * (1 - 1.5 * ball.reach(1.0) / 40 + 0.5 * (ball.reach(1.0) / 40) ** 3) - 1.0) < 1e-6
