@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from brookcal.functions import names
 from brookcal.operators import series
+from brookcal.session import ROWS_PER_TASK, spread_rows
 from checks.registry import check, q_rnd, rnd
 from checks.views import daily, daily_by_var, gauge_flow, read, with_ctes
 
@@ -116,11 +117,13 @@ UNION SELECT 'flow_daily:' || year(day) || '_' || month(day) || '_' || day(day)
   cast(year(day) AS integer), cast(month(day) AS integer), day FROM daily""")
 def parse(spark, d):
     day, loc = F.col("day"), F.col("loc")
-    built = daily(spark, d).select(F.explode(F.array(
+    # as many tasks as the lines ask for, so that neither the days nor the distinct names of one grow with the table
+    lines = read(spark, d, "lineitem").count()
+    built = spread_rows(daily(spark, d, tasks=-(-lines // ROWS_PER_TASK)).select(F.explode(F.array(
         names.build_name("flow_mon", names.month_period(day), loc),
         names.build_name("flow_ann", F.year(day), loc),
         names.build_name("flow_mean_mon", F.month(day), loc),
-        names.build_name("flow_daily", names.day_period(day), loc))).alias("name")).distinct()
+        names.build_name("flow_daily", names.day_period(day), loc))).alias("name")), len(_KINDS) * lines, "name").distinct()
     n = F.col("name")
     parts = names.period_parts(n)
     return built.select("name", names.name_group(n).alias("grp"), names.name_location(n).alias("loc"),

@@ -36,17 +36,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 # daily series -------------------------------------------------------------
 
 
-def daily(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """(loc, day, value): quantity shipped per supplier and day; the optional period reaches the scan."""
+def daily(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None, tasks: int = 0) -> DataFrame:
+    """(loc, day, value): quantity shipped per supplier and day; the optional period reaches the scan.
+
+    Where more ``tasks`` than shuffle partitions are asked for, the lines are dealt out to that many.
+    """
     line = read(spark, sf_dir, "lineitem")
     if start is not None:
         stamp = F.col("l_shipdate")
         line = line.where((stamp >= F.lit(start).cast("timestamp_ntz")) & (stamp < F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 day")))
-    return (
-        line
-        .groupBy(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("loc"), F.to_date("l_shipdate").alias("day"))
-        .agg(F.sum("l_quantity").alias("value"))
-    )
+    days = line.select(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("loc"), F.to_date("l_shipdate").alias("day"), "l_quantity")
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        days = days.repartition(tasks, "loc", "day")
+    return days.groupBy("loc", "day").agg(F.sum("l_quantity").alias("value"))
 
 
 _cte("daily", """
