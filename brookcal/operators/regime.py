@@ -170,7 +170,9 @@ def limb_states(flow: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "day", _transition_code().alias("code"), _opening(F.col("discharge"), F.col("next_q")).alias("opens"), *payload,
         ))).alias("days")
     )
-    tables = chunks.select("loc", "chunk", _fold("days").alias("table"))
+    # folded here and played back below: without the cut the quarters would be formed twice
+    chunks = cut_lineage(chunks.withColumn("table", _fold("days")))
+    tables = chunks.select("loc", "chunk", "table")
     chain = tables.groupBy("loc").agg(F.sort_array(F.collect_list(F.struct("chunk", "table"))).alias("tables"))
     entry_type = "struct<state:int,out:array<struct<chunk:int,entry:int>>>"
     walk = F.aggregate(
