@@ -1,5 +1,7 @@
 """Steps that must not grow faster than their input."""
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -86,3 +88,50 @@ def test_products_of_near_points_travel_with_their_blocks(spark):
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
     assert got.where("row = 'gap' OR col = 'gap'").count() > 1 and got.where("row = 'twice' AND col = 'twice'").count() == 4
     assert ball.support > ball.reach(1.0) > 0 and abs(2.0 * (1 - 1.5 * ball.reach(1.0) / 40 + 0.5 * (ball.reach(1.0) / 40) ** 3) - 1.0) < 1e-6
+
+
+def test_cells_of_a_parameter_ensemble_are_not_joined(spark, tmp_path):
+    from brookcal.sources import text as SX
+
+    files = {"a": ["p1 1.5 1.0 0.0", "p2 2.5 1.0 0.0", "p2 3.5 1.0 0.0", "other 9 1.0 0.0"], "b": ["p3 4.5 1.0 0.0"], "c": ["other 9 1.0 0.0"]}
+    for real, lines in files.items():
+        (tmp_path / f"bucket={real}").mkdir()
+        (tmp_path / f"bucket={real}" / "x.par").write_text("\n".join(["single point", *lines]) + "\n")
+    pars = spark.createDataFrame([("p1",), ("p2",), ("p3",), ("p3",), (None,)], "parnme string")
+    t = SX.scan_parameter_ensemble(spark, str(tmp_path), pars, r"bucket=([^/]+)/")
+    given = [("a", "p1", 1.5), ("a", "p2", 2.5), ("a", "p2", 3.5), ("b", "p3", 4.5)]
+    lacking = [(r, n, None) for n in ("p1", "p2", "p3", None) for r in "abc" if not any(g[:2] == (r, n) for g in given)]
+    assert sorted(map(tuple, t.collect()), key=str) == sorted(given + lacking, key=str)
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
+def test_tasks_of_names_and_entries_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    import checks
+    from brookcal import session
+
+    checks.load()
+    from checks import pairs, series
+
+    day = lambda i: datetime.datetime(1996, 1, 1) + datetime.timedelta(days=i % 9)
+    lines = [(i, i % 5, i % 3, 1, float(i), day(i)) for i in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"Brand#{i % 2}") for i in range(5)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    for module in (session, series):
+        monkeypatch.setattr(module, "ROWS_PER_TASK", 5)
+    entries, parsed = pairs.jacobian(spark, str(tmp_path)), series.parse(spark, str(tmp_path))
+    assert entries.rdd.getNumPartitions() == 8 and parsed.rdd.getNumPartitions() == 32
+    assert entries.count() == 6 and entries.agg(F.sum("v")).first()[0] == sum(range(40)) / 100
+    # the days of each of three suppliers, and its month, its year and its month of any year
+    assert parsed.count() == len({(i % 3, i % 9) for i in range(40)}) + 9
+
+
+def test_quarters_of_a_gauge_are_formed_once(spark, capsys):
+    from brookcal.operators import regime
+
+    flow = spark.range(400).select(F.lit("g").alias("loc"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("day"), (F.col("id") % 17).cast("double").alias("discharge"))
+    states = regime.limb_states(flow)
+    capsys.readouterr()
+    states.explain()
+    assert "Window" not in capsys.readouterr().out
+    assert states.count() == 400
