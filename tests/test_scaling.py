@@ -75,7 +75,7 @@ def test_products_of_near_points_travel_with_their_blocks(spark):
     rng = np.random.default_rng(10)
     xy, z = np.vstack([rng.uniform(0, 90, (70, 2)), np.full((9, 2), 30.0)]), rng.normal(size=(79, 5))
     rows = [(f"p{i:02d}", i % 2, float(xy[i, 0]), float(xy[i, 1]), [float(v) for v in z[i]]) for i in range(79)]
-    rows += [("twice", 0, 31.0, 30.0, [1.0] * 5), ("twice", 0, 31.0, 30.0, [1.0] * 5), ("gap", 0, 30.0, 31.0, [1.0, None, 1.0, 1.0, 1.0]), ("short", 0, 31.0, 31.0, [2.0])]
+    rows += [("twice", 0, 31.0, 30.0, [1.0] * 5), ("twice", 0, 31.0, 30.0, [1.0] * 5), ("gap", 0, 30.0, 31.0, [1.0, None, 1.0, 1.0, 1.0]), ("short", 0, 31.0, 31.0, [2.0]), ("small", 0, 31.0, 32.0, [3.0]), ("void", 0, 31.0, 32.5, None)]
     points = spark.createDataFrame(rows, "name string, zone int, x double, y double, z array<double>")
     ball = Structure((Variogram("spherical", 2.0, 40.0),), 0.25)
     pairs = G.point_covariance(points, ball, ["zone"], least=1.0, values="z", most=6)
@@ -86,6 +86,7 @@ def test_products_of_near_points_travel_with_their_blocks(spark):
     got = pairs.select("zone", "row", "col", F.round("v", 9).alias("v"), F.round("product", 9).alias("product"))
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert [r["product"] for r in got.where("row = 'short' AND col = 'small'").collect()] == [6.0]
     assert got.where("row = 'gap' OR col = 'gap'").count() > 1 and got.where("row = 'twice' AND col = 'twice'").count() == 4
     assert ball.support > ball.reach(1.0) > 0 and abs(2.0 * (1 - 1.5 * ball.reach(1.0) / 40 + 0.5 * (ball.reach(1.0) / 40) ** 3) - 1.0) < 1e-6
 
@@ -135,3 +136,37 @@ def test_quarters_of_a_gauge_are_formed_once(spark, capsys):
     states.explain()
     assert "Window" not in capsys.readouterr().out
     assert states.count() == 400
+
+
+def test_tiles_of_one_chunk_are_not_shuffled_again(spark, capsys):
+    from brookcal.operators import pairs as X
+
+    m = np.random.default_rng(11).integers(0, 3, (6, 9)).astype(float)
+    rows = spark.createDataFrame([(f"r{i}", f"k{k}", float(m[k, i])) for i in range(9) for k in range(6) if m[k, i]], "row string, k string, v double")
+    other = rows.select("k", F.col("row").alias("col"), "v")
+    for inner, steps in ((6, 2), (2, 3)):
+        one, two = X.gram_product(rows, tile=4, inner=inner), X.block_product(rows, other, tile=4, inner=inner)
+        capsys.readouterr()
+        one.explain()
+        assert capsys.readouterr().out.count("FlatMapGroupsInPandas") == steps
+        whole = {(f"r{i}", f"r{j}"): float(m[:, i] @ m[:, j]) for i in range(9) for j in range(9) if (m[:, i] * m[:, j]).any()}
+        assert {(r["row"], r["col"]): r["v"] for r in two.collect()} == whole
+        assert {(r["row"], r["col"]): r["v"] for r in one.collect()} == {k: v for k, v in whole.items() if k[0] <= k[1]}
+
+
+def test_single_observations_are_picked_from_a_large_ensemble(spark, monkeypatch):
+    from brookcal.operators import data_worth as W
+
+    x = np.random.default_rng(12).normal(size=(14, 6)) @ np.random.default_rng(13).normal(size=(6, 6))
+    ens = spark.createDataFrame([(f"{i}", f"o{j}", float(x[i, j])) for i in range(14) for j in range(6)], "real string, name string, value double")
+    groups = spark.createDataFrame([(f"o{j}", f"o{j}") for j in range(4)], "group string, name string")
+    noise = spark.createDataFrame([(f"o{j}", 0.5) for j in range(4)], "name string, var double")
+    preds = spark.createDataFrame([("o4",), ("o5",)], "name string")
+    # more realizations than one task solves for were an error
+    monkeypatch.setattr(W, "IN_REALIZATION_SPACE", 9)
+    monkeypatch.setattr(W, "MOST_REALIZATIONS", 9)
+    c, left = np.cov(x.T), {}
+    for j in range(4):
+        left[f"o{j}"] = sum(c[p, p] - c[j, p] ** 2 / (c[j, j] + 0.5) for p in (4, 5))
+    best = W.best_additions(ens, groups, noise, preds, 1).collect()[0]
+    assert best["group"] == min(left, key=left.get) and np.isclose(best["variance"], left[best["group"]])
