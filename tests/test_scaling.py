@@ -170,3 +170,13 @@ def test_single_observations_are_picked_from_a_large_ensemble(spark, monkeypatch
         left[f"o{j}"] = sum(c[p, p] - c[j, p] ** 2 / (c[j, j] + 0.5) for p in (4, 5))
     best = W.best_additions(ens, groups, noise, preds, 1).collect()[0]
     assert best["group"] == min(left, key=left.get) and np.isclose(best["variance"], left[best["group"]])
+
+
+def test_tiles_of_all_pairs_are_not_broadcast(spark, capsys):
+    xy = np.random.default_rng(14).uniform(0, 90, (30, 2))
+    points = spark.createDataFrame([(f"p{i:02d}", float(x), float(y)) for i, (x, y) in enumerate(xy)], "name string, x double, y double").coalesce(1)
+    pairs = G.point_covariance(points, Structure((Variogram("exponential", 1.0, 5.0),)), full=True)
+    capsys.readouterr()
+    pairs.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and pairs.count() == 465
