@@ -179,12 +179,12 @@ def _observation_space(
     return taken, moved.withColumnRenamed("md", "_md")
 
 
-def _realization_space(dev: DataFrame, weighed: DataFrame, members: DataFrame, pred: DataFrame, tiles: Column) -> DataFrame:
+def _realization_space(dev: DataFrame, weighed: DataFrame, pred: DataFrame, tiles: Column) -> DataFrame:
     """``(run, group, real, name, _md)``: every prediction moved by every group."""
     rows = dev.where(_solvable(F.col("_n"), MOST_REALIZATIONS) > 0).join(weighed, "name").select(
         "run", "group", F.col("real").alias("row"), F.col("name").alias("k"), (F.col("dev") / F.sqrt("var")).alias("v"))
     gram = gram_tiles(rows, ["run", "group"], dense=True)
-    targets = members.agg(F.collect_set("group")).scalar()
+    targets = weighed.agg(F.collect_set("group")).scalar()
     cols = pred.select(
         "run", "real", "name", "dev", F.pmod(F.xxhash64("name"), tiles).cast("int").alias("_t"), F.explode(targets).alias("group"))
     tiled_gram = gram.withColumn("_t", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -216,18 +216,21 @@ def posterior_moments(
         ens = ens.withColumn("run", F.lit("all"))
     everything = groups.select(F.lit("posterior").alias("group"), "name").distinct()
     members = groups.select("group", "name").unionByName(everything)
-    dev = _scaled_deviations(ens)
+    # each of these is read many times below; their plans in every place would fill the driver's memory
+    dev = cut_lineage(_scaled_deviations(ens).drop("value"))
+    weighed = cut_lineage(members.join(noise.select("name", "var"), "name", "left"))
+    predictions = cut_lineage(predictions.select("name"))
     unknown = F.raise_error(F.concat(F.lit("no noise variance for "), F.col("name"))).cast("double")
-    weighed = members.join(noise.select("name", "var"), "name", "left").withColumn("var", F.coalesce("var", unknown))
-    pred = dev.join(predictions.select("name"), "name", "left_semi")
+    weighed = weighed.withColumn("var", F.coalesce("var", unknown))
+    pred = dev.join(predictions, "name", "left_semi")
     # every group meets every prediction: groups are listed by the caller, predictions come in tiles
-    tiles = F.greatest(F.ceil(one_row(predictions, F.count(F.lit(1)))["x0"] / F.lit(512.0)), F.lit(1)).cast("int")
-    least, most = ens.groupBy("run").agg(F.count_distinct("real").alias("n")).agg(F.min("n"), F.max("n")).collect()[0]
+    tiles = F.lit(max(1, -(-predictions.count() // 512)))
+    least, most = dev.agg(F.min("_n"), F.max("_n")).collect()[0]
     drop, joined = [], []
     apart = least is not None and least <= IN_REALIZATION_SPACE < most
     if most is None or least <= IN_REALIZATION_SPACE:
         few = F.col("_n") <= IN_REALIZATION_SPACE
-        in_reals = _realization_space(dev.where(few) if apart else dev, weighed, members, pred.where(few) if apart else pred, tiles)
+        in_reals = _realization_space(dev.where(few) if apart else dev, weighed, pred.where(few) if apart else pred, tiles)
         joined.append(in_reals.join(
             pred.select("run", "real", "name", "dev", "prior_mean", "prior_var", "_n"), ["run", "real", "name"]))
         drop.append(joined[0].groupBy("run", "group", "name").agg(

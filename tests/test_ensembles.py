@@ -214,3 +214,19 @@ def test_large_ensembles_are_solved_in_observation_space(spark, monkeypatch):
     monkeypatch.setattr(W, "MOST_OBSERVATIONS", 2)
     with pytest.raises(Exception, match="observations of a group are more than the 2"):
         W.posterior_moments(some, groups, noise, preds)[0].collect()
+
+
+def test_plans_of_data_worth_do_not_repeat_the_plans_of_their_inputs(spark, monkeypatch, tmp_path):
+    """Each place that read an input held its whole plan, and the driver ran out of memory over them."""
+    _, df = _ens(spark, n=14, names=4)
+    tables = {
+        "ens": df, "groups": spark.createDataFrame([("g1", "o00"), ("g2", "o01")], "group string, name string"),
+        "noise": spark.createDataFrame([(f"o{j:02d}", 0.5 + j) for j in range(4)], "name string, var double"),
+        "predictions": spark.createDataFrame([("o02",), ("o03",)], "name string")}
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}")
+    for most in (5000, 9):
+        monkeypatch.setattr(W, "IN_REALIZATION_SPACE", most)
+        results = W.posterior_moments(*[spark.read.parquet(f"{tmp_path}/{name}") for name in tables])
+        assert [t.count() for t in results] == [3 * 2, 3 * 14 * 2]
+        assert not any("FileScan" in t._jdf.queryExecution().executedPlan().toString() for t in results)
