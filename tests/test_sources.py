@@ -63,6 +63,6 @@ def test_a_head_line_begins_each_file_and_lines_travel_once(spark, tmp_path):
     rows = [(f"r{i % 5}", f"line {i:03d}") for i in range(60)] + [("r9", "line 000"), ("r9", "line 000")]
     df = spark.createDataFrame(rows, "bucket string, value string")
     path = sources.write_files(df, "heads", order="value", head="single point")
-    got = {r["bucket"]: r["value"].split("\n") for r in spark.read.option("wholetext", True).text(path).collect()}
+    got = {r["bucket"]: r["value"].split("\n") for r in spark.read.text(path, wholetext=True).collect()}
     want = {b: ["single point", *sorted(v for k, v in rows if k == b)] for b, _ in rows}
     assert {b: [x for x in lines if x] for b, lines in got.items()} == want
