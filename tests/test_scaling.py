@@ -180,3 +180,27 @@ def test_tiles_of_all_pairs_are_not_broadcast(spark, capsys):
     pairs.explain()
     assert "Broadcast" not in capsys.readouterr().out
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and pairs.count() == 465
+
+
+def test_ranks_in_boxes_and_relative_weights(spark, monkeypatch):
+    """Ranks by name in the box of each target, with names and targets that repeat; no pair is sorted or joined for them."""
+    monkeypatch.setattr(G, "BOX_TARGETS", 5)
+    rng = np.random.default_rng(21)
+    a, b = rng.uniform(-30, 30, (50, 2)).round(), rng.uniform(-30, 30, (200, 2)).round()
+    targets = [(f"t{i % 45}", i % 2, float(x), float(y)) for i, (x, y) in enumerate(a)] + [(None, 0, 0.0, 0.0)]
+    points = [(None if i % 40 == 7 else f"p{i % 190:03d}", i % 2, float(x), float(y), None if i % 9 == 4 else 1.0 + i % 190) for i, (x, y) in enumerate(b)]
+    t = spark.createDataFrame(targets, "target string, zone int, x double, y double")
+    p = spark.createDataFrame(points, "name string, zone int, x double, y double, value double")
+    valued = G.with_summand(p.drop("value"), p.select("name", "value"), log=True)
+    near = G.within_box(t.select("target", "zone", F.col("x").alias("tx"), F.col("y").alias("ty")), valued, 8.0, ["zone"], order="name", values="_v")
+    w = near.select("target", (F.lit(1.0) / F.col("rank")).alias("w"), "_v")
+    got = sorted(((r["target"] or "", r["value"]) for r in G.apply_weights(w, None, t, log=True, fill=-7.0, relative=True).collect()))
+    want = []
+    for name, *_ in targets:
+        mine = [n or "" for target, zone, x, y in targets if target == name and name for n, z, u, v, _ in points if z == zone and abs(u - x) < 8 and abs(v - y) < 8]
+        terms = [(1 / (i + 1), [np.log10(q[4]) for q in points if n and q[0] == n and q[4] is not None]) for i, n in enumerate(sorted(mine))]
+        found = sum(len(v) for _, v in terms)
+        want.append((name or "", 10 ** (sum(u * sum(v) for u, v in terms) / sum(u for u, _ in terms)) if found else -7.0))
+    assert [x for x, _ in got] == [x for x, _ in sorted(want)]
+    np.testing.assert_allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-9)
+    assert near.where("target = 't20'").count() == near.where("target = 't20'").agg(F.max("rank")).first()[0] > 0
