@@ -204,3 +204,24 @@ def test_ranks_in_boxes_and_relative_weights(spark, monkeypatch):
     assert [x for x, _ in got] == [x for x, _ in sorted(want)]
     np.testing.assert_allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-9)
     assert near.where("target = 't20'").count() == near.where("target = 't20'").agg(F.max("rank")).first()[0] > 0
+
+
+def test_blocks_of_values_travel_by_groups(spark, monkeypatch):
+    """Each pair is met once with its product, and blocks travel less often than they are compared."""
+    monkeypatch.setattr(G, "GROUP_BLOCKS", 4)
+    rng = np.random.default_rng(31)
+    xy = np.vstack([rng.uniform(0, 90, (260, 2)), np.full((40, 2), 33.0)])
+    z = rng.normal(size=(300, 5))
+    rows = [(f"p{i:03d}", i % 2, float(xy[i, 0]), float(xy[i, 1]), [float(v) for v in z[i]]) for i in range(300)]
+    points = spark.createDataFrame(rows, "name string, zone int, x double, y double, z array<double>")
+    ball = Structure((Variogram("spherical", 2.0, 40.0),), 0.25)
+    got = {(r["row"], r["col"]): r["product"] for r in G.point_covariance(points, ball, ["zone"], most=6, least=0.8, values="z").collect()}
+    h = np.minimum(np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) / 40.0, 1.0)
+    v = 2.0 * (1.0 - 1.5 * h + 0.5 * h**3)
+    want = {(f"p{i:03d}", f"p{j:03d}"): z[i] @ z[j] for i in range(300) for j in range(i, 300) if i % 2 == j % 2 and v[i, j] >= 0.8}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    pairs, _ = G._near_blocks(points, ["zone"], 20.0, 6, 40.0, 4)
+    task = ["zone", "_g1", "_g2"]
+    members = pairs.select(*task, F.explode(F.array("_l", "_r")).alias("b")).distinct()
+    assert members.count() < 0.5 * 2 * pairs.count()
+    assert members.groupBy(*task).count().agg(F.max("count")).first()[0] <= 40
